@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,22 +101,38 @@ def with_sensor_state(zones: DataFrame, sensors: DataFrame) -> DataFrame:
 
 
 def state_per_tick(
-    readings: DataFrame, key: str, columns: list[str], tick: str, order: list[str] | None = None
+    readings: DataFrame,
+    key: str,
+    columns: list[str],
+    tick: str,
+    order: list[str] | None = None,
+    until: datetime | None = None,
 ) -> DataFrame:
     """The state of every key at the end of every tick (a duration such as "1 hour").
 
     A tick without a reading keeps the state of the tick before. Readings are
     reduced to one row per (key, tick) with map-side combining first; the gaps are
     then filled on that small table, whose size depends on the time span only.
-    ``tick`` in the result is the end of the tick: state of readings before it.
+    ``tick`` in the result is the end of the tick: state of readings before it. The
+    last state is kept up to the tick ``until``, by default the last one seen.
     """
     ends = readings.withColumn("tick", F.window("time", tick)["end"])
     seen = latest_per_key(ends, [key, "tick"], columns, order)
-    final = ends.agg(F.max("tick")).first()[0]
+    final = until if until is not None else last_tick([readings], tick)
     history = Window.partitionBy(key).orderBy("tick")
     step = F.expr(f"INTERVAL '{tick}'")
-    until = F.coalesce(F.lead("tick").over(history) - step, F.lit(final))
-    return seen.withColumn("tick", F.explode(F.sequence("tick", until, step)))
+    until = F.coalesce(F.lead("tick").over(history) - step, F.lit(final).cast("timestamp"))
+    return seen.withColumn("_until", until).where("tick <= _until").withColumn(
+        "tick", F.explode(F.sequence("tick", "_until", step))
+    ).drop("_until")
+
+
+def last_tick(tables: list[DataFrame], tick: str) -> datetime | None:
+    """End of the tick of the newest reading of all ``tables``."""
+    times = [t.agg(F.max("time").alias("time")) for t in tables]
+    newest = reduce(DataFrame.unionByName, times).agg(F.max("time").alias("time"))
+    found = newest.where("time IS NOT NULL").select(F.window("time", tick)["end"].alias("end")).first()
+    return found["end"] if found else None
 
 
 def by_wait(stands: DataFrame) -> DataFrame:

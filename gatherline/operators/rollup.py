@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import exact_mean
+from ..functions.times import at
 
 MINUTE = "1 minute"
 
@@ -56,7 +57,7 @@ def history(
     if not 5 <= minutes <= 1440:
         raise ValueError("minutes must be between 5 and 1440")
     wanted = F.upper(F.lit(value)) if key == "stand_id" else F.lit(value)
-    since = F.lit(as_of) - F.make_dt_interval(mins=F.lit(minutes))
+    since = at(as_of) - F.make_dt_interval(mins=F.lit(minutes))
     return buckets.where((F.col(key) == wanted) & (F.col("bucket") > since)).orderBy("bucket")
 
 
@@ -64,12 +65,12 @@ def readings_for_history(readings: DataFrame, as_of: datetime, minutes: int, wid
     """Readings that can still matter to :func:`history`: a bound on the raw time
     column, which a Parquet scan can use where one on buckets cannot."""
     reach = F.make_dt_interval(mins=F.lit(minutes)) + F.expr(f"INTERVAL '{width}'")
-    return readings.where(F.col("time") > F.lit(as_of) - reach)
+    return readings.where(F.col("time") > at(as_of) - reach)
 
 
 def refreshed_only(buckets: DataFrame, as_of: datetime, width: str = MINUTE) -> DataFrame:
     """Without the newest bucket, which a periodic refresh has not seen closed."""
-    return buckets.where(F.col("bucket") + F.expr(f"INTERVAL '{width}'") <= F.lit(as_of) - F.expr(f"INTERVAL '{width}'"))
+    return buckets.where(F.col("bucket") + F.expr(f"INTERVAL '{width}'") <= at(as_of) - F.expr(f"INTERVAL '{width}'"))
 
 
 def latest_bucket(buckets: DataFrame, key: str = "zone") -> DataFrame:

@@ -118,8 +118,12 @@ def search(df: DataFrame, source: str = "from_zone", graph: Graph = VENUE) -> Da
     factors = F.array(*[F.when(~is_blocked(d), walk_factor(d)) for d in density])
     # A blocked source has no way out.
     start = array(f"CASE WHEN {here[i]} AND _factor[{i}] IS NOT NULL THEN 0D END" for i in every)
-    relax = array(f"least(d[{i}], {', '.join(sql for _, sql in over('d', i))})" for i in every)
-    rounds = len(zones) - 1
+    relax = array(f"least(a.d[{i}], {', '.join(sql for _, sql in over('a.d', i))})" for i in every)
+    # Zones - 1 rounds always suffice; most searches settle in half of them and skip the rest.
+    rounds = f"""aggregate(
+        sequence(1, {len(zones) - 1}),
+        struct({start} AS d, cast(NULL AS array<double>) AS before),
+        (a, round) -> CASE WHEN a.d = a.before THEN a ELSE struct({relax} AS d, a.d AS before) END).d"""
     costs = array(f"CASE WHEN {here[i]} THEN 0D ELSE _distance[{i}] END" for i in every)
 
     def before(i: int) -> str:
@@ -131,7 +135,7 @@ def search(df: DataFrame, source: str = "from_zone", graph: Graph = VENUE) -> Da
 
     return (
         df.withColumn("_factor", factors)
-        .withColumn("_distance", F.expr(f"aggregate(sequence(1, {rounds}), {start}, (d, round) -> {relax})"))
+        .withColumn("_distance", F.expr(rounds))
         .select(
             *df.columns,
             F.expr(costs).alias("_cost"),
@@ -198,23 +202,13 @@ def all_routes(snapshots: DataFrame, graph: Graph = VENUE) -> DataFrame:
     return pairs.select(*kept, "from_zone", "to_zone", cost.alias("cost"), path.alias("path"))
 
 
-def walk(requests: DataFrame, graph: Graph = VENUE) -> DataFrame:
-    """Like :func:`routes`, reduced to ``path`` and ``walk_minutes`` with fallbacks:
-    no walk inside a zone, two minutes where no route is passable."""
-    kept = [c for c in requests.columns if c != "densities"]
-    same = F.col("from_zone") == F.col("to_zone")
-    return routes(requests, graph).select(
-        *kept,
-        F.when(same, F.array("from_zone"))
-        .when(F.col("reachable"), F.col("path"))
-        .otherwise(F.array("from_zone", "to_zone"))
-        .alias("path"),
-        F.when(same, 0.0)
-        .when(F.col("reachable"), F.col("estimated_minutes"))
-        .otherwise(2.0)
-        .alias("walk_minutes"),
+def walk_columns(source: Column, target: Column, graph: Graph = VENUE) -> tuple[Column, Column]:
+    """(path, minutes) after :func:`search`, with fallbacks: no walk inside a zone,
+    two minutes straight to the target where no route is passable."""
+    cost, path = route_columns(source, target, graph)
+    same = source == target
+    minutes = round_half_up(cost / 60, 1)
+    return (
+        F.when(same, F.array(source)).when(cost.isNotNull(), path).otherwise(F.array(source, target)),
+        F.when(same, 0.0).otherwise(F.coalesce(minutes, F.lit(2.0))),
     )
-
-
-def route_text(path: Column) -> Column:
-    return path_text(path)

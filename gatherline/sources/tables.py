@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import uuid_from
+from ..functions.times import at
 
 
 def append(df: DataFrame, path: str, time: str = "time") -> None:
@@ -32,7 +33,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 def between(df: DataFrame, start: datetime, end: datetime, time: str = "time") -> DataFrame:
     """Rows with start < time <= end; the date bound prunes partitions."""
-    rows = df.where((F.col(time) > F.lit(start)) & (F.col(time) <= F.lit(end)))
+    rows = df.where((F.col(time) > at(start)) & (F.col(time) <= at(end)))
     if "date" in df.columns:
         rows = rows.where(F.col("date").between(_day(start), _day(end)))
     return rows
