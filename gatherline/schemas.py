@@ -6,8 +6,19 @@ Messages carry ``timestamp``; tables carry the same value as ``time``.
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "string": T.StringType(),
+    "double": T.DoubleType(),
+    "int": T.IntegerType(),
+    "boolean": T.BooleanType(),
+    "array<string>": T.ArrayType(T.StringType()),
+}
+
+
+def _struct(fields: str) -> T.StructType:
+    """``name type, …`` as a schema, usable before there is a session."""
+    named = [f.split() for f in fields.split(", ")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in named])
 
 
 CROWD_MESSAGE = _struct(
