@@ -17,6 +17,10 @@ from ..operators.ordering import numbered
 from ..operators.smoothing import smooth
 from ..session import scratch_path, use_utc
 from ..sources import adapters, messages, tables, venue
+from ..streaming import buckets as bucket_streams
+from ..streaming import orders as order_streams
+from ..streaming import readings as reading_streams
+from ..streaming import routing as routing_streams
 from . import answers, twin
 
 BUCKET = "10 minutes"
@@ -870,7 +874,7 @@ def g7_walks(d):
     return accepted.select("tie", "seat_id", "stand_id", "zone", "walk_minutes")
 
 
-# --- streaming rules, as batches (the streams themselves are in streaming/) --------------------
+# --- routing, orders and alerts as batches --------------------
 
 
 @query
@@ -952,3 +956,133 @@ def r12_resolved_alerts(d):
 def r12_outcomes(d):
     _, outcomes = alerts.resolve(d.alerts, _resolutions(d))
     return outcomes.select("tie", "outcome")
+
+
+# --- streams ------------------------------------------------------------------------------------
+
+
+def _sent(d: Data, readings: DataFrame, topic: str) -> str:
+    """Readings as JSON messages in a folder, in two parts written one after the
+    other, so that a stream sees the second half of the history in a later batch."""
+    path = scratch_path(d.spark, "messages")
+    middle = at(datetime(2024, 1, 16))
+    fields = [c for c in readings.columns if c not in ("time", "tie")]
+    key = "stand_id" if topic == venue.QUEUE_TOPIC else "zone"
+    stamped = readings.withColumn("timestamp", text.iso_time(F.col("time")))
+    for part in (F.col("time") < middle, F.col("time") >= middle):
+        stamped.where(part).select(
+            F.col(key).alias("key"),
+            F.to_json(F.struct("timestamp", *fields)).alias("value"),
+            "tie",
+            F.col("tie").alias("arrival"),
+        ).coalesce(1).write.mode("append").json(path)
+    return path
+
+
+def _message_batches(d: Data, readings: DataFrame, topic: str) -> DataFrame:
+    return messages.message_stream(d.spark, _sent(d, readings, topic), max_files=1)
+
+
+def _crowd_streamed(d: Data) -> reading_streams.CrowdStream:
+    job = reading_streams.CrowdStream(d.spark, scratch_path(d.spark, "crowd"))
+    job.start(_message_batches(d, d.crowd, venue.CROWD_TOPIC)).awaitTermination()
+    return job
+
+
+def _queues_streamed(d: Data) -> reading_streams.QueueStream:
+    job = reading_streams.QueueStream(d.spark, scratch_path(d.spark, "queues"))
+    job.start(_message_batches(d, d.queues, venue.QUEUE_TOPIC)).awaitTermination()
+    return job
+
+
+@query
+def r1_crowd_stream(d):
+    """Flow forecasts of the crowd stream, over several batches."""
+    job = _crowd_streamed(d)
+    rows = tables.read_table(d.spark, f"{job.root}/flow_predictions").drop("date")
+    return rows.withColumn("avoid_zones", _joined("avoid_zones"))
+
+
+@query
+def r1_stream_zones(d):
+    """Live zone state after the crowd stream."""
+    return _crowd_streamed(d).zones.read(1).drop("position")
+
+
+@query
+def r2_queue_stream(d):
+    """Wait forecasts of the queue stream, over several batches."""
+    job = _queues_streamed(d)
+    return tables.read_table(d.spark, f"{job.root}/wait_predictions").select(
+        "tie", "time", "stand_id", "queue_length", "predicted_wait_5min", "predicted_wait_10min",
+        "arrival_rate_lambda", "halftime_spike_expected", "recommendation",
+    )
+
+
+@query
+def r3_stream_stands(d):
+    """Live stand state after the queue stream."""
+    return _queues_streamed(d).stands.read(1).drop("tie")
+
+
+def _events_stream(d: Data) -> DataFrame:
+    reader = d.spark.readStream.schema(d.table("events").schema).option("pathGlobFilter", "events.parquet")
+    return reader.parquet(d.sf_dir)
+
+
+@query
+def r5_stream_buckets(d):
+    """Closed buckets of the crowd stream: those the watermark has passed."""
+    path = scratch_path(d.spark, "buckets")
+    stream = bucket_streams.crowd_bucket_stream(adapters.crowd(_events_stream(d)), BUCKET)
+    bucket_streams.start(stream, path, f"{path}_checkpoint", {"availableNow": True}).awaitTermination()
+    return d.spark.read.parquet(path)
+
+
+@query
+def r6_late_readings(d):
+    """The second half of the history first, then the first half: all raw rows are
+    kept, and with order by arrival the state is that of the older half."""
+    path = scratch_path(d.spark, "late")
+    middle = at(datetime(2024, 1, 16))
+    stamped = d.queues.withColumn("timestamp", text.iso_time(F.col("time")))
+    fields = [c for c in d.queues.columns if c not in ("time", "tie")]
+    for part in (F.col("time") >= middle, F.col("time") < middle):
+        stamped.where(part).select(
+            F.col("stand_id").alias("key"), F.to_json(F.struct("timestamp", *fields)).alias("value"), "tie", "tie"
+        ).toDF("key", "value", "tie", "arrival").coalesce(1).write.mode("append").json(path)
+    job = reading_streams.QueueStream(d.spark, scratch_path(d.spark, "queues"), reading_streams.ARRIVAL)
+    job.start(messages.message_stream(d.spark, path, max_files=1)).awaitTermination()
+    kept = tables.read_table(d.spark, f"{job.root}/queue_readings").groupBy("stand_id").agg(F.count("*").alias("kept"))
+    return job.stands.read(1).select("stand_id", "last_updated", "queue_length").join(kept, "stand_id")
+
+
+@query
+def r7_stream_rooms(d):
+    """Routing as a stream over forecast messages."""
+    path = scratch_path(d.spark, "sent")
+    wait_rows = wait.wait_forecasts(d.queues).select("tie", "stand_id", "recommendation")
+    messages.predictions_as_messages(None, wait_rows).write.json(path)
+    stream = d.spark.readStream.schema("topic string, key string, value string").json(path)
+    routing_streams.start(stream, f"{path}_rooms", f"{path}_checkpoint").awaitTermination()
+    rooms = d.spark.read.json(f"{path}_rooms")
+    return rooms.groupBy("room", "key", "type").agg(F.count("*").alias("n"))
+
+
+@query
+def r11_order_stream(d):
+    """Orders placed through the stream."""
+    root = scratch_path(d.spark, "orders")
+    job = order_streams.OrderStream(
+        d.spark,
+        root,
+        lambda: wait.wait_forecasts(d.queues),
+        lambda: routes.snapshot_densities(d.crowd, BUCKET),
+        BUCKET,
+        lambda: d.order_heads,
+    )
+    job.start(adapters.order_requests(_events_stream(d))).awaitTermination()
+    return tables.read_table(d.spark, f"{root}/fan_orders").select(
+        "tie", "placed_at", "seat_id", "stand_id", "zone", "queue_wait_minutes", "walk_minutes",
+        "delivery_eta_minutes", "delivery_eta_timestamp", "total_price", "status",
+    )

@@ -563,3 +563,24 @@ sql(
     f"""SELECT tie, CASE WHEN tie % 4 = 0 THEN 'invalid_id' WHEN id IN (SELECT alert_id FROM alerts WHERE NOT resolved) THEN 'resolved' ELSE 'not_found' END AS outcome FROM ({ASKED})""",
     "alerts", "crowd",
 )
+
+# --- streams
+_SQL["r1_crowd_stream"] = _SQL["g4_flow_forecasts"]
+_SQL["r1_stream_zones"] = _SQL["j9_zones_with_bands"]
+sql(
+    "r2_queue_stream",
+    """SELECT tie, time, stand_id, queue_length, w5 AS predicted_wait_5min, w10 AS predicted_wait_10min, lam3 AS arrival_rate_lambda,
+        spike AS halftime_spike_expected, recommendation FROM advice""",
+    "advice",
+)
+_SQL["r3_stream_stands"] = _SQL["j9_stands_with_forecasts"]
+# A bucket is closed once the newest reading is more than the lateness past its end.
+sql("r5_stream_buckets", f"SELECT * FROM ({CROWD_BUCKETS}) WHERE bucket + INTERVAL '{B}' <= (SELECT date_trunc('milliseconds', max(time)) - INTERVAL '10 minutes' FROM crowd)", "crowd")
+sql(
+    "r6_late_readings",
+    """SELECT stand_id, last_updated, queue_length, kept FROM (SELECT stand_id, time AS last_updated, queue_length, row_number() OVER (PARTITION BY stand_id ORDER BY time DESC, tie DESC) AS rn
+        FROM queue WHERE time < TIMESTAMP '2024-01-16') JOIN (SELECT stand_id, count(*) AS kept FROM queue GROUP BY 1) USING (stand_id) WHERE rn = 1""",
+    "queue",
+)
+sql("r7_stream_rooms", "SELECT 'ops' AS room, 'wait:' || stand_id AS key, 'wait_intelligence' AS type, count(*) AS n FROM queue GROUP BY stand_id", "queue")
+_SQL["r11_order_stream"] = _SQL["r11_orders"]
