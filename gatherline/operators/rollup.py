@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import exact_mean
 from ..functions.times import at
+from .ordering import ROWS_PER_TASK, largest_group, numbered
 
 MINUTE = "1 minute"
 
@@ -84,9 +85,45 @@ def zone_means(readings: DataFrame, keys: list[str]) -> DataFrame:
     return readings.groupBy(*keys, "zone").agg(exact_mean(F.col("density")).alias("density"))
 
 
-def latency_report(df: DataFrame, latency: str, keys: list[str] | None = None) -> DataFrame:
-    """p50, p95 and p99 with linear interpolation."""
-    wanted = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
-    return df.groupBy(*(keys or [])).agg(
-        *[F.percentile(latency, F.lit(p)).alias(name) for name, p in wanted.items()]
+# The reported percentiles.
+PERCENTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
+
+
+def latency_report(
+    df: DataFrame, latency: str, keys: list[str], rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """p50, p95 and p99 with linear interpolation.
+
+    The exact percentile aggregate keeps all distinct values of a group in one
+    task. Beyond ``rows_per_task`` values are ranked by a global sort instead, and
+    only the two ranks next to each percentile are read.
+    """
+    known = df.where(F.col(latency).isNotNull()).select(*keys, F.col(latency).cast("double").alias("_v"))
+    if largest_group(known, keys) <= rows_per_task:
+        return known.groupBy(*keys).agg(
+            *[F.percentile("_v", F.lit(p)).alias(name) for name, p in PERCENTILES.items()]
+        )
+    ranked, _ = numbered(known, [*keys, "_v"])
+    groups = ranked.groupBy(*keys).agg(F.min("index").alias("_first"), F.count("*").alias("_n"))
+    wanted = groups.select(
+        *keys,
+        F.inline(F.array(*[F.struct(F.lit(n).alias("_name"), F.lit(p).alias("_p")) for n, p in PERCENTILES.items()])),
+        "_first",
+        "_n",
+    ).withColumn("_rank", F.col("_p") * (F.col("_n") - 1))
+    low = F.floor("_rank")
+    ends = wanted.select(
+        *keys,
+        "_name",
+        F.inline(
+            F.array(
+                F.struct((F.col("_first") + low).alias("index"), (1 - (F.col("_rank") - low)).alias("_share")),
+                F.struct((F.col("_first") + low + 1).alias("index"), (F.col("_rank") - low).alias("_share")),
+            )
+        ),
+    ).where("_share > 0")
+    return (
+        ends.join(ranked.select("index", "_v"), "index")
+        .groupBy(*keys)
+        .agg(*[F.sum(F.when(F.col("_name") == n, F.col("_v") * F.col("_share"))).alias(n) for n in PERCENTILES])
     )

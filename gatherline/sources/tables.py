@@ -11,15 +11,21 @@ from ..functions.text import uuid_from
 from ..functions.times import at
 
 
+def _by_date(df: DataFrame, time: str) -> DataFrame:
+    """Rows of a date together, so that a task writes few files; the rebalancing
+    shuffle splits a date that is too large for one task."""
+    return df.withColumn("date", F.to_date(time)).hint("rebalance", "date")
+
+
 def append(df: DataFrame, path: str, time: str = "time") -> None:
     """Append rows to a table partitioned by the date of ``time``."""
-    df.withColumn("date", F.to_date(time)).write.mode("append").partitionBy("date").parquet(path)
+    _by_date(df, time).write.mode("append").partitionBy("date").parquet(path)
 
 
 def append_batch(df: DataFrame, path: str, batch_id: int, time: str = "time") -> None:
     """Append a micro-batch; a retried batch replaces what it wrote before."""
     (
-        df.withColumn("date", F.to_date(time))
+        _by_date(df, time)
         .write.mode("overwrite")
         .partitionBy("date")
         .parquet(f"{path}/batch={batch_id}")
