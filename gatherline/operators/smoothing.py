@@ -19,18 +19,18 @@ ALPHA = 0.3
 BLOCK = 1024
 
 
-def _fold(items: Column, start: Column) -> Column:
-    """Value after all ``items`` (structs with slope, shift), from ``start``."""
-    return F.aggregate(items, start, lambda s, i: i["slope"] * s + i["shift"])
+def _step(s: Column, i: Column) -> Column:
+    """Value after map ``i``. ``s`` is NULL where the series starts with this map."""
+    return F.when(s.isNull(), i["alone"]).otherwise(i["slope"] * s + i["shift"])
 
 
 def _running(items: Column, start: Column) -> Column:
-    """Values before each item, as an array: ``start`` comes first."""
+    """Values before each item, as an array; where a series starts, its first value."""
     grown = F.aggregate(
         items,
         F.struct(start.alias("s"), F.array().cast("array<double>").alias("before")),
         lambda acc, i: F.struct(
-            (i["slope"] * acc["s"] + i["shift"]).alias("s"),
+            _step(acc["s"], i).alias("s"),
             F.concat(acc["before"], F.array(acc["s"])).alias("before"),
         ),
     )
@@ -38,43 +38,45 @@ def _running(items: Column, start: Column) -> Column:
 
 
 def _start_values(maps: DataFrame, key: str, last: int, block: int) -> DataFrame:
-    """Value each map of a key starts from.
+    """Value each map of a key starts from; NULL for the first map of the key.
 
-    Input: key, position, slope, shift, first (the value a series would start with
-    at this map). Output: key, position, start.
+    Input: key, position, slope, shift, alone (the value after this map if the
+    series starts with it). Output: key, position, start.
     """
-    item = F.struct("position", "slope", "shift", "first")
+    item = F.struct("position", "slope", "shift", "alone")
+    none = F.lit(None).cast("double")
     if last < block:
-        return (
-            maps.groupBy(key)
+        grouped = maps.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("items")).withColumn("start", none)
+    else:
+        blocks = (
+            maps.withColumn("_block", F.floor(F.col("position") / block))
+            .groupBy(key, "_block")
             .agg(F.sort_array(F.collect_list(item)).alias("items"))
-            .withColumn("starts", _running(F.col("items"), F.col("items")[0]["first"]))
-            .select(key, F.inline(F.arrays_zip("items", "starts")))
-            .select(key, F.col("items.position").alias("position"), F.col("starts").alias("start"))
         )
-    grouped = (
-        maps.withColumn("_block", F.floor(F.col("position") / block))
-        .groupBy(key, "_block")
-        .agg(F.sort_array(F.collect_list(item)).alias("items"))
-    )
-    upper = _start_values(_composed(grouped, key).withColumnRenamed("_block", "position"), key, last // block, block)
+        upper = _start_values(
+            _composed(blocks, key).withColumnRenamed("_block", "position"), key, last // block, block
+        )
+        grouped = blocks.join(upper.withColumnRenamed("position", "_block"), [key, "_block"])
     return (
-        grouped.join(upper.withColumnRenamed("position", "_block"), [key, "_block"])
-        .withColumn("starts", _running(F.col("items"), F.col("start")))
+        grouped.withColumn("starts", _running(F.col("items"), F.col("start")))
         .select(key, F.inline(F.arrays_zip("items", "starts")))
         .select(key, F.col("items.position").alias("position"), F.col("starts").alias("start"))
     )
 
 
 def _composed(grouped: DataFrame, key: str) -> DataFrame:
-    """One map per (key, block) from its ``items``."""
+    """One map per (key, block) from its ``items``.
+
+    ``alone`` is computed step by step, so the first block of a series has exactly
+    the values of a sequential run; later blocks may differ in the last bit.
+    """
     items = F.col("items")
     return grouped.select(
         key,
         "_block",
         F.aggregate(items, F.lit(1.0), lambda a, i: a * i["slope"]).alias("slope"),
-        _fold(items, F.lit(0.0)).alias("shift"),
-        items[0]["first"].alias("first"),
+        F.aggregate(items, F.lit(0.0), lambda s, i: i["slope"] * s + i["shift"]).alias("shift"),
+        F.aggregate(items, F.lit(None).cast("double"), _step).alias("alone"),
     )
 
 
@@ -96,26 +98,36 @@ def smooth(
     by which it is partitioned together with the key.
     """
     rest = [c for c in df.columns if c not in (key, "_block")]
+    slope, shift = F.lit(1 - alpha), alpha * F.col(value)
     item = F.struct(
         F.col(position).alias("position"),
-        F.lit(1 - alpha).alias("slope"),
-        (alpha * F.col(value)).alias("shift"),
-        F.col(value).alias("first"),
-        *[F.col(c) for c in rest if c not in ("position", "slope", "shift", "first")],
+        slope.alias("slope"),
+        shift.alias("shift"),
+        # A series starts as if its first value had been there before.
+        (slope * F.col(value) + shift).alias("alone"),
+        F.struct(*rest).alias("row"),
     )
     # Blocks may be given by the caller, to line up with how the rows are partitioned.
     rows = df if "_block" in df.columns else df.withColumn("_block", F.floor(F.col(position) / block))
     grouped = rows.groupBy("_block", key).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    maps = _composed(grouped, key)
-    if start is not None:
+    maps = _composed(grouped, key).withColumnRenamed("_block", "position")
+    if start is None:
+        starts = _start_values(maps, key, last // block, block)
+    else:
         given = start.select(key, F.col("smoothed").alias("_given"))
-        maps = maps.join(given, key, "left").withColumn("first", F.coalesce("_given", "first")).drop("_given")
-    starts = _start_values(maps.withColumnRenamed("_block", "position"), key, last // block, block)
+        continued = F.coalesce(F.col("slope") * F.col("_given") + F.col("shift"), "alone")
+        maps = maps.join(given, key, "left").withColumn("alone", continued).drop("_given")
+        starts = (
+            _start_values(maps, key, last // block, block)
+            .join(given, key, "left")
+            .withColumn("start", F.coalesce("start", "_given"))
+            .drop("_given")
+        )
     out = F.transform(
         F.arrays_zip("items", "before"),
         lambda z: F.struct(
-            *[z["items"][c].alias(c) for c in rest],
-            (z["items"]["shift"] + z["items"]["slope"] * z["before"]).alias("smoothed"),
+            *[z["items"]["row"][c].alias(c) for c in rest],
+            _step(z["before"], z["items"]).alias("smoothed"),
         ),
     )
     return (
