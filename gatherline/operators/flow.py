@@ -43,7 +43,7 @@ def run_members(
         readings.withColumns({"_first": first, "_last": last})
         .where("_first <= _last")
         .withColumn("_block", F.explode(F.sequence(F.floor(F.col("_first") / block), F.floor(F.col("_last") / block))))
-        .repartition(min(spread, blocks), "_block")
+        .repartition(min(3 * spread, blocks), "_block")
     )
     low = F.greatest(F.col("_first"), F.col("_block") * block)
     high = F.least(F.col("_last"), F.col("_block") * block + (block - 1))

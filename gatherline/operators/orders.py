@@ -13,7 +13,7 @@ from ..sources import venue
 from ..sources.messages import failed_rules, normalised_stand, order_faults
 from .latest import open_stands
 from .ordering import ROWS_PER_TASK, carried_forward
-from .routes import VENUE, Graph, search, walk_columns
+from .routes import VENUE, Graph, walk_columns, with_searches
 
 UNKNOWN_STAND = "stand not found"
 CLOSED_STAND = "stand closed"
@@ -84,13 +84,6 @@ def with_fan_zone(df: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     )
 
 
-def _with_densities(df: DataFrame, snapshots: DataFrame, key: str) -> DataFrame:
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
-    return df.join(snapshots.select(key, "densities"), key, "left").withColumn(
-        "densities", F.coalesce("densities", empty)
-    )
-
-
 def place_orders(
     requests: DataFrame,
     forecasts: DataFrame,
@@ -122,7 +115,8 @@ def place_orders(
     cold = default_forecasts.select("stand_id", F.col("predicted_wait_5min").alias("_cold_wait"))
     taken = with_fan_zone(stated.where(~closed), orders).join(F.broadcast(cold), "stand_id", "left")
     taken = taken.withColumn("snapshot", F.window("placed_at", tick)["start"])
-    found = search(_with_densities(taken, snapshots, "snapshot"), "stand_zone", graph)
+    stand_zones = sorted({s[2] for s in venue.STANDS})
+    found = with_searches(taken, snapshots, "snapshot", "stand_zone", stand_zones, graph)
     _, minutes = walk_columns(F.col("stand_zone"), F.col("fan_zone"), graph)
     wait = F.coalesce("state.predicted_wait_5min", "_cold_wait")
     timed = found.withColumns({"_walk": minutes, "_wait": wait}).withColumn(
@@ -181,7 +175,7 @@ def nearby_stands(
     """
     kept = requests.columns
     asked = with_fan_zone(requests, orders).join(ranked_stands(stands, top_n), "tick")
-    found = search(_with_densities(asked, snapshots, "tick"), "fan_zone", graph)
+    found = with_searches(asked, snapshots, "tick", "fan_zone", graph=graph)
     each = found.select(
         *kept, "fan_zone", "_cost", "_pred", F.posexplode("nearby").alias("_place", "s")
     ).withColumn("_to", F.col("s.zone"))

@@ -192,14 +192,59 @@ def routes(requests: DataFrame, graph: Graph = VENUE) -> DataFrame:
     )
 
 
-def all_routes(snapshots: DataFrame, graph: Graph = VENUE) -> DataFrame:
-    """Cost and path between all zones, for every row of ``snapshots``."""
-    kept = [c for c in snapshots.columns if c != "densities"]
-    zones = F.array(*[F.lit(z) for z in graph.zones])
-    found = search(snapshots.withColumn("from_zone", F.explode(zones)), "from_zone", graph)
-    pairs = found.withColumn("to_zone", F.explode(zones))
+def spread_out(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows spread evenly before searches: a search costs far more than moving its
+    row, and small snapshots would otherwise be coalesced into a few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def searches(
+    snapshots: DataFrame, key: str, source: str, sources: list[str] | None = None, graph: Graph = VENUE
+) -> DataFrame:
+    """One search per snapshot and source zone: (key, source, _cost, _pred).
+
+    However many requests there are, a snapshot needs no more searches than the
+    venue has zones; requests are joined to them by (key, source).
+    """
+    zones = F.array(*[F.lit(z) for z in sources or graph.zones])
+    rows = snapshots.select(key, "densities", F.explode(zones).alias(source))
+    return search(spread_out(rows, [key, source]), source, graph).drop("densities")
+
+
+def with_searches(
+    requests: DataFrame,
+    snapshots: DataFrame,
+    key: str,
+    source: str,
+    sources: list[str] | None = None,
+    graph: Graph = VENUE,
+) -> DataFrame:
+    """Requests with the arrays of the search from their ``source`` at their ``key``.
+
+    Where the snapshot is unknown, the venue counts as empty.
+    """
+    spark = requests.sparkSession
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+    # One row per zone of the venue: a fixed size.
+    empty = search(
+        spark.range(1).select(none.alias("densities"), F.explode(F.array(*[F.lit(z) for z in sources or graph.zones])).alias(source)),
+        source,
+        graph,
+    ).select(source, F.col("_cost").alias("_empty_cost"), F.col("_pred").alias("_empty_pred"))
+    return (
+        requests.join(searches(snapshots, key, source, sources, graph), [key, source], "left")
+        .join(F.broadcast(empty), source, "left")
+        .withColumns({"_cost": F.coalesce("_cost", "_empty_cost"), "_pred": F.coalesce("_pred", "_empty_pred")})
+        .drop("_empty_cost", "_empty_pred")
+    )
+
+
+def all_routes(snapshots: DataFrame, key: str = "snapshot", graph: Graph = VENUE) -> DataFrame:
+    """Cost and path between all zones, for every snapshot."""
+    found = searches(snapshots, key, "from_zone", graph=graph)
+    pairs = found.withColumn("to_zone", F.explode(F.array(*[F.lit(z) for z in graph.zones])))
     cost, path = route_columns(F.col("from_zone"), F.col("to_zone"), graph)
-    return pairs.select(*kept, "from_zone", "to_zone", cost.alias("cost"), path.alias("path"))
+    return pairs.select(key, "from_zone", "to_zone", cost.alias("cost"), path.alias("path"))
 
 
 def walk_columns(source: Column, target: Column, graph: Graph = VENUE) -> tuple[Column, Column]:
