@@ -11,7 +11,7 @@ from ..functions.numbers import exact_sum, mean_of, round_half_up
 from ..functions.text import path_text
 from ..sources.venue import MAIN_SEATING
 from .ordering import numbered
-from .routes import VENUE, Graph, route_columns, search
+from .routes import VENUE, Graph, paths_towards, search_towards
 from .smoothing import ALPHA, BLOCK, smooth
 
 # A run every so many readings; readings kept after a run.
@@ -120,17 +120,17 @@ def describe_runs(
             ),
         }
     )
-    each = listed.select(*keys, "time", "densities", "_crowded", F.inline("zones"))
-    found = search(each, "zone", graph)
-    _, path = route_columns(F.col("zone"), F.lit(target), graph)
-    return found.select(
+    # One search per run serves all its zones.
+    aimed = search_towards(listed, target, graph)
+    each = aimed.select(*keys, "time", "densities", "_crowded", "_next", "_tied", F.inline("zones"))
+    return paths_towards(each, "zone", target, graph).select(
         *keys,
         "time",
         "zone",
         round_half_up(F.col("density"), 4).alias("current_density"),
         round_half_up(F.col("smoothed"), 4).alias("predicted_density"),
         congestion_band(F.col("density")).alias("congestion_risk"),
-        path_text(path).alias("recommended_route"),
+        path_text(F.col("path")).alias("recommended_route"),
         F.array_remove("_crowded", F.col("zone")).alias("avoid_zones"),
         "smoothed",
     )

@@ -94,13 +94,33 @@ def snapshot_densities(crowd: DataFrame, tick: str) -> DataFrame:
     return density_maps(zone_means(rows, ["snapshot"]), ["snapshot"])
 
 
-def search(df: DataFrame, source: str = "from_zone", graph: Graph = VENUE) -> DataFrame:
+def _array(items) -> str:
+    return f"array({', '.join(items)})"
+
+
+def _settled(start: str, relax: str, zones: int) -> str:
+    """SQL that relaxes the distances ``a.d`` until they settle: zones - 1 rounds
+    always suffice, most searches settle in half of them and skip the rest."""
+    return f"""aggregate(
+        sequence(1, {zones - 1}),
+        struct({start} AS d, cast(NULL AS array<double>) AS before),
+        (a, round) -> CASE WHEN a.d = a.before THEN a ELSE struct({relax} AS d, a.d AS before) END).d"""
+
+
+def _with_factors(df: DataFrame, graph: Graph) -> DataFrame:
+    """Add ``_factor`` per zone, NULL where blocked: NULLs drop out of least()."""
+    density = [F.coalesce(F.col("densities")[z], F.lit(0.0)) for z in graph.zones]
+    return df.withColumn("_factor", F.array(*[F.when(~is_blocked(d), walk_factor(d)) for d in density]))
+
+
+def search(df: DataFrame, source: str = "from_zone", graph: Graph = VENUE, only: str = "true") -> DataFrame:
     """Distances from the zone in ``source`` to all zones.
 
     Needs a ``densities`` map column. Adds two arrays indexed like ``graph.zones``:
     ``_cost`` (NULL where unreachable) and ``_pred``, the position of the zone
     before on the cheapest path. Among equally cheap paths the one over the zone
-    with the smaller (cost, name) wins, at every step.
+    with the smaller (cost, name) wins, at every step. Rows outside the condition
+    ``only`` are not searched.
     """
     zones = graph.zones
     every = range(len(zones))
@@ -109,41 +129,97 @@ def search(df: DataFrame, source: str = "from_zone", graph: Graph = VENUE) -> Da
         """(neighbour, SQL of the distance over it) for all ways into zone i."""
         return [(u, f"{distance}[{u}] + {s!r}D * _factor[{i}]") for u, s in graph.entering(zones[i])]
 
-    def array(items) -> str:
-        return f"array({', '.join(items)})"
-
     here = [f"{source} = '{z}'" for z in zones]
-    # NULL where blocked: NULL distances drop out of least().
-    density = [F.coalesce(F.col("densities")[z], F.lit(0.0)) for z in zones]
-    factors = F.array(*[F.when(~is_blocked(d), walk_factor(d)) for d in density])
     # A blocked source has no way out.
-    start = array(f"CASE WHEN {here[i]} AND _factor[{i}] IS NOT NULL THEN 0D END" for i in every)
-    relax = array(f"least(a.d[{i}], {', '.join(sql for _, sql in over('a.d', i))})" for i in every)
-    # Zones - 1 rounds always suffice; most searches settle in half of them and skip the rest.
-    rounds = f"""aggregate(
-        sequence(1, {len(zones) - 1}),
-        struct({start} AS d, cast(NULL AS array<double>) AS before),
-        (a, round) -> CASE WHEN a.d = a.before THEN a ELSE struct({relax} AS d, a.d AS before) END).d"""
-    costs = array(f"CASE WHEN {here[i]} THEN 0D ELSE _distance[{i}] END" for i in every)
+    start = _array(f"CASE WHEN {here[i]} AND _factor[{i}] IS NOT NULL THEN 0D END" for i in every)
+    relax = _array(f"least(a.d[{i}], {', '.join(sql for _, sql in over('a.d', i))})" for i in every)
+    costs = _array(f"CASE WHEN {here[i]} THEN 0D ELSE _distance[{i}] END" for i in every)
 
     def before(i: int) -> str:
-        ways = array(
+        ways = _array(
             f"CASE WHEN {sql} = _distance[{i}] THEN struct(_distance[{u}], {u} AS u) END"
             for u, sql in over("_distance", i)
         )
         return f"CASE WHEN NOT ({here[i]}) THEN array_min(array_compact({ways})).u END"
 
     return (
-        df.withColumn("_factor", factors)
-        .withColumn("_distance", F.expr(rounds))
+        _with_factors(df, graph)
+        .withColumn("_distance", F.expr(f"CASE WHEN {only} THEN {_settled(start, relax, len(zones))} END"))
         .select(
             *df.columns,
-            F.expr(costs).alias("_cost"),
-            F.expr(array(before(i) for i in every)).alias("_pred"),
+            F.expr(f"CASE WHEN {only} THEN {costs} END").alias("_cost"),
+            F.expr(f"CASE WHEN {only} THEN {_array(before(i) for i in every)} END").alias("_pred"),
         )
     )
 
 
+def search_towards(df: DataFrame, target: str, graph: Graph = VENUE) -> DataFrame:
+    """One search for the ways from all zones to ``target``.
+
+    Needs a ``densities`` map column. Adds ``_next``, the position of the zone after
+    each zone, and ``_tied``: whether another next zone is as cheap, but for
+    rounding. Which of equally cheap paths counts is defined from the source (see
+    :func:`search`), so tied ways have to be searched from there.
+    """
+    zones = graph.zones
+    every = range(len(zones))
+
+    def over(distance: str, i: int) -> list[tuple[int, str]]:
+        return [(v, f"{distance}[{v}] + {s!r}D * _factor[{v}]") for v, s in graph.entering(zones[i])]
+
+    start = _array(f"CASE WHEN {z == target} AND _factor[{i}] IS NOT NULL THEN 0D END" for i, z in enumerate(zones))
+    relax = _array(f"least(a.d[{i}], {', '.join(sql for _, sql in over('a.d', i))})" for i in every)
+
+    def after(i: int) -> str:
+        ways = _array(f"struct({sql} AS c, {v} AS v)" for v, sql in over("_distance", i))
+        open_ways = f"filter({ways}, w -> w.c IS NOT NULL)"
+        return f"CASE WHEN {zones[i] != target} AND _factor[{i}] IS NOT NULL THEN array_min({open_ways}).v END"
+
+    def tied(i: int) -> str:
+        near = [f"CASE WHEN {sql} <= _distance[{i}] * 1.000000001D THEN 1 ELSE 0 END" for _, sql in over("_distance", i)]
+        return f"{zones[i] != target} AND {' + '.join(near)} > 1"
+
+    return (
+        _with_factors(df, graph)
+        .withColumn("_distance", F.expr(_settled(start, relax, len(zones))))
+        .select(
+            *df.columns,
+            F.expr(_array(after(i) for i in every)).alias("_next"),
+            F.expr(_array(tied(i) for i in every)).alias("_tied"),
+        )
+    )
+
+
+def paths_towards(df: DataFrame, source: str, target: str, graph: Graph = VENUE) -> DataFrame:
+    """Add ``path`` from the zone in ``source`` to ``target``; empty if unreachable.
+
+    Needs the columns of :func:`search_towards`. Follows them where the cheapest
+    path is unique, and searches from the source where it is not.
+    """
+    zones = F.array(*[F.lit(z) for z in graph.zones])
+    goal = graph.zones.index(target)
+    walked = F.aggregate(
+        F.sequence(F.lit(1), F.lit(len(graph.zones) - 1)),
+        F.array((F.array_position(zones, F.col(source)) - 1).cast("int")),
+        lambda path, _: F.when(F.element_at(path, -1) == goal, path).otherwise(
+            F.concat(path, F.array_compact(F.array(F.get(F.col("_next"), F.element_at(path, -1)))))
+        ),
+    )
+    rows = df.withColumn("_walked", walked)
+    rows = rows.withColumn("_unsure", F.exists("_walked", lambda i: F.get(F.col("_tied"), i)))
+    found = search(rows, source, graph, only="_unsure")
+    _, searched = route_columns(F.col(source), F.lit(target), graph)
+    followed = F.when(
+        F.element_at("_walked", -1) == goal, F.transform("_walked", lambda i: F.element_at(zones, i + 1))
+    ).otherwise(F.array().cast("array<string>"))
+    path = (
+        F.when(F.col(source) == target, F.array(F.lit(target)))
+        .when(F.col("_unsure"), searched)
+        .otherwise(followed)
+    )
+    return found.withColumn("path", path).drop("_walked", "_unsure", "_next", "_tied", "_cost", "_pred")
+
+
 def route_columns(source: Column, target: Column, graph: Graph = VENUE) -> tuple[Column, Column]:
     """(cost, path) for a target zone, from the arrays of :func:`search`."""
     zones = F.array(*[F.lit(z) for z in graph.zones])

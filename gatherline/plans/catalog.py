@@ -36,9 +36,12 @@ class Data:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = use_utc(spark)
         self.sf_dir = sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return adapters.table(self.spark, self.sf_dir, name)
+        if name not in self._tables:
+            self._tables[name] = adapters.table(self.spark, self.sf_dir, name)
+        return self._tables[name]
 
     @property
     def crowd(self) -> DataFrame:

@@ -60,6 +60,27 @@ def test_random_snapshots(spark):
         assert r.path == (path_to(before, r.from_zone, r.to_zone) if r.to_zone in cost else [])
 
 
+def test_search_towards_equals_searches_from_each_zone(spark):
+    rng = random.Random(5)
+    choices = [0.0, 0.0, 0.0, 0.5, 0.9]
+
+    def snapshots(zones, n):
+        rows = [(i, z, rng.choice(choices) if i % 2 else rng.random()) for i in range(n) for z in zones]
+        return routes.density_maps(spark.createDataFrame(rows, "snapshot int, zone string, density double"), ["snapshot"]).cache()
+
+    # A grid of equal corridors, where most ways are tied, next to the venue's own.
+    grid = [(f"{r}{c}", f"{r}{c + 1}", 10.0) for r in "abc" for c in range(2)]
+    grid += [(f"{a}{c}", f"{b}{c}", 10.0) for a, b in ("ab", "bc") for c in range(3)]
+    for graph, target, n in ((routes.VENUE, "Lower-Stands", 200), (routes.Graph(tuple(grid)), "b1", 60)):
+        given = snapshots(graph.zones, n)
+        aimed = routes.search_towards(given, target, graph)
+        each = aimed.withColumn("zone", F.explode(F.array(*[F.lit(z) for z in graph.zones])))
+        got = routes.paths_towards(each, "zone", target, graph).select("snapshot", "zone", "path").collect()
+        wanted = routes.all_routes(given, graph=graph).where(F.col("to_zone") == target).select("snapshot", "from_zone", "path").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, wanted))
+    assert aimed.where(F.exists("_tied", lambda t: t)).count() > 10
+
+
 @pytest.mark.parametrize(
     "densities, source, target, path, seconds, minutes, avoided",
     [
