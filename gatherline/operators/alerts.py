@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import after_prefix, canonical_uuid, is_uuid, whole_number, whole_percent
+from ..functions.text import after_prefix, canonical_uuid, is_uuid, iso_time, whole_number, whole_percent
 from ..schemas import ALERT_ENVELOPE, FLOW_ENVELOPE, WAIT_ENVELOPE
 from ..sources import venue
 
@@ -170,9 +170,10 @@ def _complete(schema, optional: tuple[str, ...] = ()) -> Column:
 def route_messages(messages: DataFrame) -> DataFrame:
     """Audiences of every message: one row per (message, room).
 
-    Input: topic, key, value. Adds ``room``, ``type`` and ``valid``: whether the
-    message has all fields its receivers declare. The full payload is passed on
-    either way. Stateless, so it serves streams as well.
+    Input: topic, key, value. Adds ``room``, ``type``, ``routed_at`` (the message's
+    own values where it has them) and ``valid``: whether the message has all fields
+    its receivers declare. The full payload is passed on either way. Stateless, so
+    it serves streams as well.
     """
     def field(name: str) -> Column:
         # Empty text counts as absent.
@@ -208,5 +209,6 @@ def route_messages(messages: DataFrame) -> DataFrame:
         *messages.columns,
         F.explode(F.array_compact(F.array(special, F.lit("ops")))).alias("room"),
         F.coalesce(F.get_json_object("value", "$._type"), kind).alias("type"),
+        F.coalesce(F.get_json_object("value", "$._routed_at"), iso_time(F.current_timestamp())).alias("routed_at"),
         F.coalesce(valid, F.lit(False)).alias("valid"),
     )
