@@ -38,9 +38,5 @@ def exact_mean(x: Column, digits: int = 9) -> Column:
     return mean_of(exact_sum(x, digits), F.count(x), digits)
 
 
-def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(x, F.lit(high)))
-
-
 def or_zero(x: Column) -> Column:
     return F.coalesce(x, F.lit(0.0))

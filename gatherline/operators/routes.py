@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..functions.crowd import BLOCK_DENSITY, is_blocked, walk_factor
 from ..functions.numbers import round_half_up
-from ..functions.text import path_text
 from ..sources import venue
 from .rollup import zone_means
 

@@ -14,7 +14,6 @@ from ..functions.numbers import round_half_up
 from ..functions.times import at
 from ..operators import alerts, egress, flow, heatmap, latest, orders, rollup, routes, snapshot, wait
 from ..operators.ordering import numbered
-from ..operators.smoothing import smooth
 from ..session import scratch_path, use_utc
 from ..sources import adapters, messages, tables, venue
 from ..streaming import buckets as bucket_streams
@@ -437,15 +436,23 @@ def _heat(d: Data) -> DataFrame:
     return heatmap.heatmap(zones, twin.stands(d.queues))
 
 
-@query
-def j1_heatmap_zones(d):
-    rows = _heat(d)
+def _flat_heat(rows: DataFrame) -> DataFrame:
     return rows.select(
         "zone", "density", "headcount", "flow_rate", "congestion_level", "anomaly_active", "last_updated",
         "stand_only", "is_critical", _joined(F.transform("stands", lambda s: s["stand_id"])).alias("stands"),
     )
 
 
+@query
+def j1_heatmap_zones(d):
+    return _flat_heat(_heat(d))
+
+
+@query
+def j1_venue_heatmap(d):
+    return _flat_heat(answers.venue_heatmap(d.crowd, d.queues, d.ble, d.cctv))
+
+
 @query
 def j1_heatmap_stands(d):
     return heatmap.stand_rows(heatmap.heatmap(latest.zone_state(d.crowd).withColumn("anomaly_active", F.lit(False)), twin.stands(d.queues)))
@@ -1042,6 +1049,14 @@ def r5_stream_buckets(d):
     return d.spark.read.parquet(path)
 
 
+@query
+def r5_stream_queue_buckets(d):
+    path = scratch_path(d.spark, "buckets")
+    stream = bucket_streams.queue_bucket_stream(adapters.queues(_events_stream(d)), BUCKET)
+    bucket_streams.start(stream, path, f"{path}_checkpoint", {"availableNow": True}).awaitTermination()
+    return d.spark.read.parquet(path)
+
+
 @query
 def r6_late_readings(d):
     """The second half of the history first, then the first half: all raw rows are

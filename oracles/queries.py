@@ -5,7 +5,6 @@ from __future__ import annotations
 from gatherline.sources import venue
 
 from .base import (
-    K,
     band,
     bucket,
     compose,
@@ -177,15 +176,18 @@ CAMERAS = """SELECT zone, CAST(sum(h) AS INTEGER) AS cctv_headcount, bool_or(a)
         (SELECT zone, camera_id, arg_max(headcount_estimate, (time, tie)) AS h, arg_max(anomaly_detected, (time, tie)) AS a FROM cctv GROUP BY 1, 2) GROUP BY 1"""
 STANDS = f"SELECT s.*, f.w5, f.w10, coalesce(f.spike, false) AS spike FROM stand_state s LEFT JOIN ({LAST_ADVICE}) f ON f.stand_id = s.stand_id"
 NESTED = "SELECT zone, string_agg(stand_id, ',' ORDER BY wait_minutes IS NULL, wait_minutes, stand_id) AS stands, count(*) AS n FROM stand_state GROUP BY zone"
-sql(
-    "j1_heatmap_zones",
-    f"""SELECT coalesce(z.zone, s.zone) AS zone, {rnd('density', 4)} AS density, headcount, {rnd('flow_rate', 2)} AS flow_rate, congestion_level,
+
+
+def heat_sql(zones: str) -> str:
+    return f"""SELECT coalesce(z.zone, s.zone) AS zone, {rnd('density', 4)} AS density, headcount, {rnd('flow_rate', 2)} AS flow_rate, congestion_level,
         coalesce(c.anomaly_active, false) AND z.zone IS NOT NULL AS anomaly_active, {iso('last_updated')} AS last_updated,
         z.zone IS NULL AS stand_only, coalesce(density >= 0.9, false) AS is_critical, coalesce(stands, '') AS stands
-        FROM (SELECT * FROM ({BANDED}) WHERE zone <> 'Concourse-B') z FULL JOIN ({NESTED}) s ON s.zone = z.zone
-        LEFT JOIN ({CAMERAS}) c ON c.zone = z.zone""",
-    "indexed", "run_zones", "stand_state", "cctv",
-)
+        FROM ({zones}) z FULL JOIN ({NESTED}) s ON s.zone = z.zone LEFT JOIN ({CAMERAS}) c ON c.zone = z.zone"""
+
+
+HEAT_NEEDS = ["indexed", "run_zones", "stand_state", "cctv"]
+sql("j1_heatmap_zones", heat_sql(f"SELECT * FROM ({BANDED}) WHERE zone <> 'Concourse-B'"), *HEAT_NEEDS)
+sql("j1_venue_heatmap", heat_sql(BANDED), *HEAT_NEEDS)
 PLACE = "row_number() OVER (PARTITION BY zone ORDER BY wait_minutes IS NULL, wait_minutes, stand_id) - 1"
 sql(
     "j1_heatmap_stands",
@@ -576,6 +578,7 @@ sql(
 _SQL["r3_stream_stands"] = _SQL["j9_stands_with_forecasts"]
 # A bucket is closed once the newest reading is more than the lateness past its end.
 sql("r5_stream_buckets", f"SELECT * FROM ({CROWD_BUCKETS}) WHERE bucket + INTERVAL '{B}' <= (SELECT date_trunc('milliseconds', max(time)) - INTERVAL '10 minutes' FROM crowd)", "crowd")
+sql("r5_stream_queue_buckets", f"SELECT * FROM ({QUEUE_BUCKETS}) WHERE bucket + INTERVAL '{B}' <= (SELECT date_trunc('milliseconds', max(time)) - INTERVAL '10 minutes' FROM queue)", "queue")
 sql(
     "r6_late_readings",
     """SELECT stand_id, last_updated, queue_length, kept FROM (SELECT stand_id, time AS last_updated, queue_length, row_number() OVER (PARTITION BY stand_id ORDER BY time DESC, tie DESC) AS rn
