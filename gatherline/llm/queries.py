@@ -8,7 +8,9 @@ from public_tokenizers import path as tokenizer
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_documents
+from . import line_frequency
 from .common import table
+from .winnow import compare_with_next
 
 
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,10 +18,20 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op2_winnow(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return compare_with_next(table(spark, folder, "documents"))
+
+
+def op3_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts of every document, and whether the lines its source repeats leave enough of it."""
+    return line_frequency.line_rules(table(spark, folder, "documents"))
+
+
 def text_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe}
+    return {"op1_bpe": op1_bpe, "op2_winnow": op2_winnow, "op3_line_frequency": op3_line_frequency}
 
 
 def text_oracle() -> dict[str, str]:
     """SQL of the queries that it can express."""
-    return {}
+    return {"op3_line_frequency": line_frequency.SQL}
