@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_documents
 from . import line_frequency
 from .common import table
+from .simhash import components
 from .winnow import compare_with_next
 
 
@@ -28,8 +29,13 @@ def op3_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
     return line_frequency.line_rules(table(spark, folder, "documents"))
 
 
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """SimHash fingerprint and near-copy group of every document."""
+    return components(table(spark, folder, "documents"))
+
+
 def text_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_winnow": op2_winnow, "op3_line_frequency": op3_line_frequency}
+    return {"op1_bpe": op1_bpe, "op2_winnow": op2_winnow, "op3_line_frequency": op3_line_frequency, "op4_simhash": op4_simhash}
 
 
 def text_oracle() -> dict[str, str]:
