@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 #: Words are runs of anything but the six ASCII white-space characters.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -57,7 +59,8 @@ def batches(rows: Iterator[pa.RecordBatch], chars: int = 1 << 20) -> Iterator[li
             yield [c[start:] for c in columns]
 
 
-def mapped(
-    df: DataFrame, function: Callable[..., Iterator[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    return df.mapInArrow(function, schema)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage is cut and its size is known."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

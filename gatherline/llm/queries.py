@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_documents
 from . import line_frequency
 from .common import table
+from .language import identify
 from .simhash import components
+from .warc import archive_pages
 from .winnow import compare_with_next
 
 
@@ -34,8 +36,18 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return components(table(spark, folder, "documents"))
 
 
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, by shares learned from the other folds."""
+    return identify(table(spark, folder, "documents"))
+
+
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Index of the archives of all pages, in order of URL and time."""
+    return archive_pages(table(spark, folder, "pages"))
+
+
 def text_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_winnow": op2_winnow, "op3_line_frequency": op3_line_frequency, "op4_simhash": op4_simhash}
+    return {"op1_bpe": op1_bpe, "op2_winnow": op2_winnow, "op3_line_frequency": op3_line_frequency, "op4_simhash": op4_simhash, "op5_language": op5_language, "op6_warc": op6_warc}
 
 
 def text_oracle() -> dict[str, str]:
