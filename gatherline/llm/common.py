@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,23 +27,32 @@ def words(text: Column | str) -> Column:
     )
 
 
-def learns(doc_id: str, folds: int, held_out: int) -> Column:
-    """Whether a document's labels may be learned from: its fold is not the held-out one."""
-    return F.crc32(F.col(doc_id).cast("string")) % folds != held_out
-
-
 def in_fold(doc_id: str, folds: int, held_out: int) -> Column:
     """Whether a document is held out; a NULL id is in no fold."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == held_out, F.lit(False))
 
 
-def sampled(labelled: DataFrame, key: str, rows: int) -> DataFrame:
-    """At most about ``rows`` labelled rows, chosen by a hash of ``key`` (the same on every run)."""
-    total = labelled.count()
-    if total <= rows:
-        return labelled
-    share = int(rows / total * (1 << 30))
-    return labelled.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) < share)
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int], folds: int, held_out: int
+) -> tuple[list[str], np.ndarray, float]:
+    """(texts, labels 0/1, share of label 1) of documents to learn from.
+
+    At most ``per_class`` labelled ids of the classes 0 and 1, those with the smallest hashes, outside the
+    held-out fold; ids labelled both ways count for both. The share is that of all labels outside
+    the fold. The sample is bounded, so it may go to the driver.
+    """
+    usable = labels.select(F.col("doc_id").cast("bigint").alias("l_id"), F.col(label).alias("y")).where(
+        F.col("l_id").isNotNull() & F.col("y").isin(0, 1) & ~in_fold("l_id", folds, held_out)
+    )
+    rank = F.xxhash64("l_id", F.lit(label))
+    chosen = [usable.where(F.col("y") == y).distinct().orderBy(rank, "l_id").limit(per_class[y]) for y in (0, 1)]
+    ids = F.broadcast(chosen[0].union(chosen[1]))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("l_id"))
+    # A repeated document teaches once.
+    found = rows.groupBy("doc_id", "y").agg(F.max("text").alias("text")).orderBy("doc_id", "y").toArrow()
+    counts = usable.agg(F.count("*").alias("n"), F.sum("y").alias("ones")).first()
+    share = ((counts["ones"] or 0) + 1) / (counts["n"] + 2)
+    return [t or "" for t in found["text"].to_pylist()], found["y"].to_numpy().astype(np.float64), share
 
 
 def batches(rows: Iterator[pa.RecordBatch], chars: int = 1 << 20) -> Iterator[list[list]]:

@@ -11,7 +11,9 @@ from .bpe import encode_documents
 from . import line_frequency
 from .common import table
 from .language import identify
+from .quality import quality
 from .simhash import components
+from .toxicity import toxicity
 from .warc import archive_pages
 from .winnow import compare_with_next
 
@@ -46,8 +48,27 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     return archive_pages(table(spark, folder, "pages"))
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from the other folds' labels."""
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learned from the other folds' labels."""
+    return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def text_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_winnow": op2_winnow, "op3_line_frequency": op3_line_frequency, "op4_simhash": op4_simhash, "op5_language": op5_language, "op6_warc": op6_warc}
+    return {
+        "op1_bpe": op1_bpe,
+        "op2_winnow": op2_winnow,
+        "op3_line_frequency": op3_line_frequency,
+        "op4_simhash": op4_simhash,
+        "op5_language": op5_language,
+        "op6_warc": op6_warc,
+        "op8_toxicity": op8_toxicity,
+        "op10_quality": op10_quality,
+    }
 
 
 def text_oracle() -> dict[str, str]:
