@@ -69,6 +69,11 @@ def batches(rows: Iterator[pa.RecordBatch], chars: int = 1 << 20) -> Iterator[li
             yield [c[start:] for c in columns]
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(row, k_doc, k_key): whole rows with their id and text hash, safe from clashing column names."""
+    return docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("k_doc"), F.xxhash64("text").alias("k_key"))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage is cut and its size is known."""
     path = scratch_path(df.sparkSession, name)

@@ -11,6 +11,7 @@ from .bpe import encode_documents
 from . import line_frequency
 from .common import table
 from .language import identify
+from .mixing import mixed
 from .quality import quality
 from .simhash import components
 from .toxicity import toxicity
@@ -58,6 +59,11 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """What a mix of all sources takes of every document."""
+    return mixed(table(spark, folder, "documents"))
+
+
 def text_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -67,6 +73,7 @@ def text_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language": op5_language,
         "op6_warc": op6_warc,
         "op8_toxicity": op8_toxicity,
+        "op9_mixing": op9_mixing,
         "op10_quality": op10_quality,
     }
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from .common import packed
 
 SHINGLE, BITS = 4, 4
 BLOCK = 4096
@@ -300,12 +301,13 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> Da
     state = checkpointed(
         rows.join(kept, same, "left").select("doc_id", "text_key", F.col("w_key").isNotNull().alias("stays"), "copies")
     )
-    of = F.col("doc_id").eqNullSafe(F.col("g_doc")) & (F.xxhash64("text") == F.col("g_key"))
+    of = F.col("k_doc").eqNullSafe(F.col("g_doc")) & (F.col("k_key") == F.col("g_key"))
     named = lambda rows: rows.select(F.col("doc_id").alias("g_doc"), F.col("text_key").alias("g_key"))
     # Rows that go are fewer than those that stay; winners with copies are looked at apart.
-    out = docs.join(named(state.where("NOT stays OR copies > 1")), of, "left_anti")
+    rows = packed(docs)
+    out = rows.join(named(state.where("NOT stays OR copies > 1")), of, "left_anti").select("row.*")
     repeated = named(state.where("stays AND copies > 1"))
     if repeated.isEmpty():
         return out
-    again = docs.join(repeated, of, "left_semi").withColumn("_key", F.xxhash64("text"))
-    return out.unionByName(again.dropDuplicates(["doc_id", "_key"]).drop("_key"))
+    again = rows.join(repeated, of, "left_semi").groupBy("k_doc", "k_key").agg(F.first("row").alias("row"))
+    return out.unionByName(again.select("row.*"))

@@ -24,8 +24,8 @@ from .common import batches, in_fold, labelled_sample
 
 GRAMS = (3, 4, 5)
 BUCKETS, SIZE = 1 << 17, 4
-PER_CLASS = (5000, 1500)  # labelled documents to learn from, at most: not toxic, toxic
-EPOCHS, BATCH, RATE, DECAY = 12, 256, 0.05, 1e-4
+PER_CLASS = (6000, 1500)  # labelled documents to learn from, at most: not toxic, toxic
+STEPS, BATCH, RATE, DECAY = 320, 256, 0.05, 2e-4
 SCALE = 64.0  # of a document's mean: few of its words tell
 PAD = 20  # zero vectors in every mean, so that a few odd words are no verdict
 MEMO_WORDS = 500_000
@@ -88,7 +88,7 @@ class Model:
         return float(self.bias[1] - self.bias[0])
 
 
-def train(texts: list[str], y: np.ndarray, share: float, epochs: int = EPOCHS, seed: int = 7) -> Model:
+def train(texts: list[str], y: np.ndarray, share: float, steps: int = STEPS, seed: int = 7) -> Model:
     """Fit vectors and softmax together by Adam on batches of documents; ``share``: of label 1 among all labels."""
     rng = np.random.default_rng(seed)
     model = Model(rng.normal(0, 0.1, (BUCKETS, SIZE)).astype(np.float32), rng.normal(0, 0.1, (SIZE, 2)), np.zeros(2))
@@ -101,28 +101,26 @@ def train(texts: list[str], y: np.ndarray, share: float, epochs: int = EPOCHS, s
     bags = [(*_bag([texts[i] for i in part]), y[part]) for part in parts]
     params = [model.vectors, model.softmax, model.bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    step = 0
-    for epoch in range(epochs):
-        rate = RATE * (1 - epoch / epochs)
-        for b in rng.permutation(len(bags)):
-            doc, bucket, weight, want = bags[b]
-            n = len(want)
-            lean = model.softmax[:, 1] - model.softmax[:, 0]
-            grams = model.vectors @ lean
-            logit = SCALE * np.bincount(doc, weight * grams[bucket], n) + model.intercept()
-            error = (1 / (1 + np.exp(-logit)) - want) / n  # of the toxic class; the other's is its opposite
-            pull = SCALE * np.bincount(bucket, weight * error[doc], BUCKETS)
-            mean_error = model.vectors.T @ pull
-            slopes = [
-                np.outer(pull, lean).astype(np.float32) + np.float32(DECAY) * model.vectors,
-                np.stack([-mean_error, mean_error], axis=1),
-                np.array([-error.sum(), error.sum()]),
-            ]
-            step += 1
-            for p, g, m, v in zip(params, slopes, first, second, strict=True):
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    turn: list[int] = []
+    for step in range(1, steps + 1):
+        turn = turn or rng.permutation(len(bags)).tolist()
+        doc, bucket, weight, want = bags[turn.pop()]
+        rate, n = RATE * (1 - (step - 1) / steps), len(want)
+        lean = model.softmax[:, 1] - model.softmax[:, 0]
+        grams = model.vectors @ lean
+        logit = SCALE * np.bincount(doc, weight * grams[bucket], n) + model.intercept()
+        error = (1 / (1 + np.exp(-logit)) - want) / n  # of the toxic class; the other's is its opposite
+        pull = SCALE * np.bincount(bucket, weight * error[doc], BUCKETS)
+        mean_error = model.vectors.T @ pull
+        slopes = [
+            np.outer(pull, lean).astype(np.float32) + np.float32(DECAY) * model.vectors,
+            np.stack([-mean_error, mean_error], axis=1),
+            np.array([-error.sum(), error.sum()]),
+        ]
+        for p, g, m, v in zip(params, slopes, first, second, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     seen = y.mean()
     model.bias[1] += np.log(share / (1 - share)) - np.log(seen / (1 - seen))
     return model
