@@ -13,6 +13,7 @@ from .common import table
 from .language import identify
 from .mixing import mixed
 from .quality import quality
+from .secrets import scan
 from .simhash import components
 from .toxicity import toxicity
 from .warc import archive_pages
@@ -64,6 +65,11 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed(table(spark, folder, "documents"))
 
 
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document: base matches and learned formats."""
+    return scan(table(spark, folder, "documents"))
+
+
 def text_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -72,6 +78,7 @@ def text_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": op4_simhash,
         "op5_language": op5_language,
         "op6_warc": op6_warc,
+        "op7_secrets": op7_secrets,
         "op8_toxicity": op8_toxicity,
         "op9_mixing": op9_mixing,
         "op10_quality": op10_quality,
