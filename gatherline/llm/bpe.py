@@ -123,7 +123,7 @@ class Automaton:
         for t, label in enumerate(self.labels):
             if t not in made and t not in reserved and label is not None and len(label) == 1:
                 group[t] = 1
-        allowed = np.zeros((1024, 1024), np.bool_)
+        allowed = np.zeros((1 << 14, 3 << 12), np.bool_)  # pages that are never written take no memory
         allowed[0, 1] = True
         in_state, in_group = [0] * (len(merges) + 2), [0] * (len(merges) + 3)
         in_state[0] = 1 + int((group == 1).sum())  # the start is in state 0, too
@@ -137,9 +137,9 @@ class Automaton:
             in_state[r] += 1
             p = state_of[u]
             if n_states == len(allowed):
-                allowed = np.vstack([allowed, np.zeros((1024, allowed.shape[1]), np.bool_)])
+                allowed = np.vstack([allowed, np.zeros((1 << 14, allowed.shape[1]), np.bool_)])
             if n_groups == allowed.shape[1]:
-                allowed = np.hstack([allowed, np.zeros((len(allowed), 1024), np.bool_)])
+                allowed = np.hstack([allowed, np.zeros((len(allowed), 1 << 12), np.bool_)])
             if in_state[p] > 1:  # u leads to a copy of its own
                 allowed[n_states] = allowed[p]
                 in_state[p] -= 1
@@ -155,7 +155,8 @@ class Automaton:
             group_of[w] = group_of[u]
             in_group[group_of[w]] += 1
         self.state_of, self.group_of = np.array(state_of, np.int32), np.array(group_of, np.int32)
-        self.allowed = np.packbits(allowed[:n_states, :n_groups], axis=1)
+        parts = [np.packbits(allowed[i : min(i + 1024, n_states), :n_groups], axis=1) for i in range(0, n_states, 1024)]
+        self.allowed = np.concatenate(parts)
 
     def spell(self) -> None:
         """Tables of the transitions over bytes: a trie of the labels of tokens that occur."""
