@@ -68,7 +68,8 @@ def _bag(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32)
     word, bucket = word_grams(spelled)
     weight = np.concatenate(counts)[word] / np.bincount(word, minlength=len(spelled))[word]
-    both, at = np.unique(np.array(docs)[word] * BUCKETS + bucket, return_inverse=True)
+    del spelled
+    both, at = np.unique(np.array(docs, np.int32)[word].astype(np.int64) * BUCKETS + bucket, return_inverse=True)
     return (both // BUCKETS).astype(np.int32), (both % BUCKETS).astype(np.int32), np.bincount(at, weight).astype(np.float32)
 
 
