@@ -21,13 +21,13 @@ def fixed_point(x: Column, digits: int = 9) -> Column:
 
 
 def exact_sum(x: Column, digits: int = 9) -> Column:
-    """Sum in fixed point, as a bigint.
+    """Sum in fixed point, as a decimal whole number.
 
     Sums of doubles depend on the order of partial aggregates; this does not, so
-    a retried or differently partitioned job gives the same bits. An overflow
-    fails the query (ANSI mode) instead of wrapping.
+    a retried or differently partitioned job gives the same bits. The sum has room
+    for 10^10 values of the largest size a bigint holds.
     """
-    return F.sum(fixed_point(x, digits))
+    return F.sum(fixed_point(x, digits).cast("decimal(28,0)"))
 
 
 def mean_of(total: Column, count: Column, digits: int = 9) -> Column:

@@ -27,8 +27,8 @@ def path_text(path: Column) -> Column:
 
 
 def is_uuid(text: Column) -> Column:
-    """UUID text, with or without hyphens, braces or the urn prefix."""
-    bare = F.regexp_replace(F.lower(text), r"urn:|uuid:", "")
+    """UUID text, with or without hyphens, braces or the urn prefix (in lower case)."""
+    bare = F.lower(F.regexp_replace(text, r"urn:|uuid:", ""))
     bare = F.regexp_replace(F.regexp_replace(bare, r"^[{}]+|[{}]+$", ""), "-", "")
     return F.coalesce(bare.rlike("^[0-9a-f]{32}$"), F.lit(False))
 
@@ -85,4 +85,4 @@ def stand_key(text: Column) -> Column:
 
 
 def after_prefix(text: Column, prefix: str) -> Column:
-    return F.when(text.startswith(prefix), F.substring(text, len(prefix) + 1, 1_000_000))
+    return F.when(text.startswith(prefix), F.substr(text, F.lit(len(prefix) + 1)))

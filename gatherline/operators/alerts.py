@@ -136,20 +136,24 @@ def unresolved_critical(alerts: DataFrame) -> DataFrame:
 
 
 def resolve(alerts: DataFrame, resolutions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply resolutions (column ``alert_id``, any UUID spelling).
+    """Apply resolutions (columns ``alert_id``, any UUID spelling, and ``tie``, their order).
 
-    Returns the updated alerts and one outcome row per resolution: resolved,
-    not_found (no such unresolved alert) or invalid_id.
+    Returns the updated alerts and one outcome row per resolution: resolved (the first
+    request for an alert), not_found (no such unresolved alert, or resolved by an earlier
+    request) or invalid_id.
     """
     asked = resolutions.withColumn("_id", canonical_uuid(F.col("alert_id")))
     ids = asked.where(F.col("_id").isNotNull()).select(F.col("_id").alias("alert_id")).distinct()
     marked = alerts.join(ids.withColumn("_hit", F.lit(True)), "alert_id", "left")
     updated = marked.withColumn("resolved", F.coalesce("_hit", "resolved")).drop("_hit")
     open_ids = unresolved(alerts).select(F.col("alert_id").alias("_id")).distinct().withColumn("_open", F.lit(True))
+    first = asked.groupBy("_id").agg(F.min("tie").alias("_first")).join(open_ids, "_id")
     outcome = (
-        F.when(~is_uuid(F.col("alert_id")), "invalid_id").when(F.col("_open"), "resolved").otherwise("not_found")
+        F.when(~is_uuid(F.col("alert_id")), "invalid_id")
+        .when(F.col("_open") & (F.col("tie") == F.col("_first")), "resolved")
+        .otherwise("not_found")
     )
-    outcomes = asked.join(open_ids, "_id", "left").withColumn("outcome", outcome).drop("_id", "_open")
+    outcomes = asked.join(first, "_id", "left").withColumn("outcome", outcome).drop("_id", "_open", "_first")
     return updated, outcomes
 
 

@@ -89,10 +89,8 @@ def flow_forecasts(
     ``readings``: index, time, zone, density (:func:`ordering.numbered` adds the
     index). ``start`` holds ``smoothed`` per zone from earlier runs.
     """
-    if block is None:
-        # Several blocks per task even out their sizes; long blocks repeat fewer readings.
-        spread = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        block = min(BLOCK, max(32, (last_index // every - first_run + 1) // (8 * spread)))
+    # Of a fixed size: values are composed block by block, and their bits follow the blocks.
+    block = block or BLOCK
     members = run_members(readings.select("index", "time", "zone", "density"), last_index, first_run, every, kept, block)
     smoothed = smooth(run_zone_means(members), "zone", "run", "density", last_index // every, alpha, block, start)
     return describe_runs(smoothed, ["_block", "run"], graph, target).drop("_block")

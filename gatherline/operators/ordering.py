@@ -46,6 +46,13 @@ def _ranged(df: DataFrame, keys: list[str], order: list[str], pieces: int) -> Da
     )
 
 
+def _joined_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join in which NULL keys are equal, as they are in a window."""
+    right = right.withColumnsRenamed({k: f"_r{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in keys]
+    return left.join(right, on, "left").drop(*[f"_r{k}" for k in keys])
+
+
 def previous_values(
     df: DataFrame,
     keys: list[str],
@@ -88,7 +95,7 @@ def previous_values(
             F.coalesce(F.lag("_second", 1).over(across), F.lag("_last", 2).over(across)).alias("_before_2"),
         )
     )
-    filled = inside.join(carried, ["_piece", *keys], "left")
+    filled = _joined_null_safe(inside, carried, ["_piece", *keys])
     first = F.col("previous").isNull()
     return filled.withColumns(
         {
@@ -132,7 +139,7 @@ def carried_forward(
         "_piece", *keys, F.last(name, ignorenulls=True).over(across).alias("_carried")
     )
     return (
-        inside.join(carried, ["_piece", *keys], "left")
+        _joined_null_safe(inside, carried, ["_piece", *keys])
         .withColumn(name, F.coalesce(name, "_carried"))
         .drop("_piece", "_copy", "_ends", "_carried")
     )

@@ -59,14 +59,15 @@ def history(
         raise ValueError("minutes must be between 5 and 1440")
     wanted = F.upper(F.lit(value)) if key == "stand_id" else F.lit(value)
     since = at(as_of) - F.make_dt_interval(mins=F.lit(minutes))
-    return buckets.where((F.col(key) == wanted) & (F.col("bucket") > since)).orderBy("bucket")
+    within = (F.col("bucket") > since) & (F.col("bucket") <= at(as_of))
+    return buckets.where((F.col(key) == wanted) & within).orderBy("bucket")
 
 
 def readings_for_history(readings: DataFrame, as_of: datetime, minutes: int, width: str = MINUTE) -> DataFrame:
-    """Readings that can still matter to :func:`history`: a bound on the raw time
-    column, which a Parquet scan can use where one on buckets cannot."""
+    """Readings that matter to :func:`history`: none after ``as_of``, and none too old for its
+    buckets. Both bounds are on the raw time column, where a Parquet scan can use them."""
     reach = F.make_dt_interval(mins=F.lit(minutes)) + F.expr(f"INTERVAL '{width}'")
-    return readings.where(F.col("time") > at(as_of) - reach)
+    return readings.where((F.col("time") > at(as_of) - reach) & (F.col("time") <= at(as_of)))
 
 
 def refreshed_only(buckets: DataFrame, as_of: datetime, width: str = MINUTE) -> DataFrame:

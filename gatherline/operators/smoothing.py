@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 # Fixed value.
 ALPHA = 0.3
 
-BLOCK = 1024
+BLOCK = 128
 
 
 def _step(s: Column, i: Column) -> Column:

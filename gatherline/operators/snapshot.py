@@ -65,11 +65,15 @@ def assemble(latest: dict[str, DataFrame]) -> DataFrame:
     )
     for name in _KINDS:
         rows = rows.join(_listed(latest[name], name), "tick", "full_outer")
-    return rows.join(texts, "tick", "left").select(
+    rows = rows.join(texts, "tick", "left")
+    return rows.select(
         F.col("tick").alias("time"),
         F.coalesce("total_attendance", F.lit(0)).alias("total_attendance"),
         F.coalesce("venue_congestion_level", F.lit("low")).alias("venue_congestion_level"),
-        *[F.col(n).alias(alias) for n, alias in (("crowd", "crowd_sensors"), ("queue", "queue_sensors"), ("ble", "ble_beacons"), ("cctv", "cctv_cameras"))],
+        *[
+            F.coalesce(F.col(n), F.array().cast(rows.schema[n].dataType)).alias(alias)
+            for n, alias in (("crowd", "crowd_sensors"), ("queue", "queue_sensors"), ("ble", "ble_beacons"), ("cctv", "cctv_cameras"))
+        ],
         F.coalesce("alerts", F.array().cast("array<string>")).alias("alerts"),
     )
 

@@ -359,7 +359,8 @@ def p8_recent_buckets(d):
 
 @query
 def p9_gate_buckets(d):
-    return rollup.crowd_buckets(d.crowd, BUCKET).where(
+    raw = rollup.readings_for_history(d.crowd, AS_OF, 1440, BUCKET)
+    return rollup.crowd_buckets(raw, BUCKET).where(
         F.col("zone").startswith("Gate-") & (F.col("bucket") > at(AS_OF) - F.expr("INTERVAL '1 day'"))
     )
 
@@ -958,7 +959,7 @@ def _resolutions(d: Data) -> DataFrame:
 
 @query
 def r12_resolved_alerts(d):
-    updated, _ = alerts.resolve(d.alerts, _resolutions(d).select("alert_id"))
+    updated, _ = alerts.resolve(d.alerts, _resolutions(d))
     return updated.groupBy("category", "severity", "resolved").agg(F.count("*").alias("n"))
 
 
@@ -971,38 +972,35 @@ def r12_outcomes(d):
 # --- streams ------------------------------------------------------------------------------------
 
 
-def _sent(d: Data, readings: DataFrame, topic: str) -> str:
-    """Readings as JSON messages in a folder, in two parts written one after the
-    other, so that a stream sees the second half of the history in a later batch."""
+def _streamed(d: Data, job, readings: DataFrame, late_first: bool = False, arrival: str = "tie"):
+    """``job`` after two batches of JSON messages, one for each half of the history.
+
+    The stream runs when a half is written, and again for the other; each half is as many
+    files as its readings have partitions. ``arrival``: SQL of the order inside a batch.
+    """
     path = scratch_path(d.spark, "messages")
     middle = at(datetime(2024, 1, 16))
     fields = [c for c in readings.columns if c not in ("time", "tie")]
-    key = "stand_id" if topic == venue.QUEUE_TOPIC else "zone"
+    key = "stand_id" if "stand_id" in readings.columns else "zone"
     stamped = readings.withColumn("timestamp", text.iso_time(F.col("time")))
-    for part in (F.col("time") < middle, F.col("time") >= middle):
-        stamped.where(part).select(
+    halves = [F.col("time") < middle, F.col("time") >= middle]
+    for half in reversed(halves) if late_first else halves:
+        stamped.where(half).select(
             F.col(key).alias("key"),
             F.to_json(F.struct("timestamp", *fields)).alias("value"),
             "tie",
-            F.col("tie").alias("arrival"),
-        ).coalesce(1).write.mode("append").json(path)
-    return path
-
-
-def _message_batches(d: Data, readings: DataFrame, topic: str) -> DataFrame:
-    return messages.message_stream(d.spark, _sent(d, readings, topic), max_files=1)
+            F.expr(arrival).alias("arrival"),
+        ).write.mode("append").json(path)
+        job.start(messages.message_stream(d.spark, path)).awaitTermination()
+    return job
 
 
 def _crowd_streamed(d: Data) -> reading_streams.CrowdStream:
-    job = reading_streams.CrowdStream(d.spark, scratch_path(d.spark, "crowd"))
-    job.start(_message_batches(d, d.crowd, venue.CROWD_TOPIC)).awaitTermination()
-    return job
+    return _streamed(d, reading_streams.CrowdStream(d.spark, scratch_path(d.spark, "crowd")), d.crowd)
 
 
 def _queues_streamed(d: Data) -> reading_streams.QueueStream:
-    job = reading_streams.QueueStream(d.spark, scratch_path(d.spark, "queues"))
-    job.start(_message_batches(d, d.queues, venue.QUEUE_TOPIC)).awaitTermination()
-    return job
+    return _streamed(d, reading_streams.QueueStream(d.spark, scratch_path(d.spark, "queues")), d.queues)
 
 
 @query
@@ -1059,18 +1057,10 @@ def r5_stream_queue_buckets(d):
 
 @query
 def r6_late_readings(d):
-    """The second half of the history first, then the first half: all raw rows are
-    kept, and with order by arrival the state is that of the older half."""
-    path = scratch_path(d.spark, "late")
-    middle = at(datetime(2024, 1, 16))
-    stamped = d.queues.withColumn("timestamp", text.iso_time(F.col("time")))
-    fields = [c for c in d.queues.columns if c not in ("time", "tie")]
-    for part in (F.col("time") >= middle, F.col("time") < middle):
-        stamped.where(part).select(
-            F.col("stand_id").alias("key"), F.to_json(F.struct("timestamp", *fields)).alias("value"), "tie", "tie"
-        ).toDF("key", "value", "tie", "arrival").coalesce(1).write.mode("append").json(path)
+    """The second half of the history first, then the first half, and inside a batch the newest
+    reading first: all raw rows are kept, and by arrival the state is the oldest reading."""
     job = reading_streams.QueueStream(d.spark, scratch_path(d.spark, "queues"), reading_streams.ARRIVAL)
-    job.start(messages.message_stream(d.spark, path, max_files=1)).awaitTermination()
+    _streamed(d, job, d.queues, late_first=True, arrival="-unix_micros(time) * 1000 - tie % 1000")
     kept = tables.read_table(d.spark, f"{job.root}/queue_readings").groupBy("stand_id").agg(F.count("*").alias("kept"))
     return job.stands.read(1).select("stand_id", "last_updated", "queue_length").join(kept, "stand_id")
 

@@ -153,20 +153,29 @@ def message_stream(spark: SparkSession, path: str, max_files: int | None = None)
     return reader.json(path)
 
 
+def kafka_rows(rows: DataFrame) -> DataFrame:
+    """Kafka's columns as (topic, key, value, tie, arrival), batch or stream.
+
+    ``tie`` is unique within a topic; offsets order one partition only, so messages of several
+    arrive by (timestamp, partition, offset).
+    """
+    return rows.select(
+        "topic",
+        F.col("key").cast("string").alias("key"),
+        F.col("value").cast("string").alias("value"),
+        (F.shiftleft(F.col("partition").cast("bigint"), 44) + F.col("offset")).alias("tie"),
+        F.struct("timestamp", "partition", "offset").alias("arrival"),
+    )
+
+
 def kafka_stream(spark: SparkSession, servers: str, topics: list[str], starting: str = "latest") -> DataFrame:
-    """Stream of (topic, key, value, arrival) from Kafka; needs the Kafka package."""
-    return (
+    """Stream of (topic, key, value, tie, arrival) from Kafka; needs the Kafka package."""
+    return kafka_rows(
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", ",".join(topics))
         .option("startingOffsets", starting)
         .load()
-        .select(
-            "topic",
-            F.col("key").cast("string").alias("key"),
-            F.col("value").cast("string").alias("value"),
-            F.col("offset").alias("arrival"),
-        )
     )
 
 

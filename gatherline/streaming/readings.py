@@ -9,7 +9,7 @@ repeated after a failure replaces its first attempt.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -43,13 +43,18 @@ def _start(stream: DataFrame, process, checkpoint: str, trigger: dict) -> Stream
     )
 
 
+def _inside(order_by: str) -> list[str]:
+    """The order of readings inside a batch."""
+    return ["arrival", "tie"] if order_by == ARRIVAL else ["time", "tie"]
+
+
 class CrowdStream:
     """Crowd messages to ``crowd_readings``, ``zones``, ``flow_predictions``, ``alerts``
     and ``messages`` under ``root``.
 
-    ``order_by`` decides which reading of a zone is its state: the last to arrive
-    (even if older), or the last by event time, which repeats on replays. Runs
-    count readings in batch order, inside a batch by event time.
+    ``order_by`` decides the order of readings inside a batch, by which runs count them, and
+    which reading of a zone is its state: the last to arrive (even if older), or the last by
+    event time, which repeats on replays. Batches follow each other in either case.
     """
 
     def __init__(self, spark: SparkSession, root: str, order_by: str = ARRIVAL):
@@ -77,7 +82,8 @@ class CrowdStream:
         recent = self.recent.read(n - 1)
         before = recent.agg(F.max("index")).first()[0] or 0
         fields = ["time", *ZONE_STATE_COLUMNS[:-1]]
-        rows, last = numbered(readings.select("tie", "zone", *fields), ["time", "tie"], start=before)
+        order = _inside(self.order_by)
+        rows, last = numbered(readings.select("zone", *fields, *[c for c in order if c != "time"]), order, start=before)
 
         covered = recent.unionByName(rows.select("index", "time", "zone", "density"))
         runs = flow.flow_forecasts(
@@ -150,12 +156,14 @@ class QueueStream:
 
         # The two last readings of a stand come before the batch, whatever their time.
         carried = self.recent.read(n - 1).withColumn("_fresh", F.lit(0))
-        fresh = readings.select("stand_id", "stand_name", "time", "tie", "queue_length").withColumns(
+        inside = _inside(self.order_by)
+        extra = [c for c in inside if c == "arrival"]
+        fresh = readings.select("stand_id", "stand_name", "time", "tie", "queue_length", *extra).withColumns(
             {"_fresh": F.lit(1), "place": F.lit(0)}
         )
         both = fresh.unionByName(carried, allowMissingColumns=True)
-        order = ["_fresh", "place", "time", "tie"]
-        rates = wait.arrival_rates(both, order=tuple(order)).where("_fresh = 1").drop("_fresh", "place")
+        order = ["_fresh", "place", *inside]
+        rates = wait.arrival_rates(both, order=tuple(order)).where("_fresh = 1").drop("_fresh", "place", *extra)
         forecasts = wait.forecasts(rates).persist()
         append_batch(forecasts, f"{self.root}/wait_predictions", n)
         spikes = alerts.spike_alerts(forecasts)
@@ -165,19 +173,28 @@ class QueueStream:
             f"{self.root}/messages/kind=wait/batch={n}"
         )
 
-        back = Window.partitionBy("stand_id").orderBy(*[F.desc(c) for c in order])
-        tail = both.withColumn("_back", F.row_number().over(back)).where("_back <= 2")
-        self.recent.write(
-            tail.select("stand_id", "time", "tie", "queue_length", (F.lit(2) - F.col("_back")).cast("int").alias("place")), n
-        )
+        self.recent.write(self._tail(both, order), n)
         self.stands.write(self._state(readings, forecasts, n), n)
         forecasts.unpersist()
 
+    @staticmethod
+    def _tail(rows: DataFrame, order: list[str]) -> DataFrame:
+        """The two last rows of each stand: two maxima, each combined on the map side."""
+        place = F.struct(*order)
+        fields = ["time", "tie", "queue_length"]
+        last = latest.latest_per_key(rows.withColumn("_at", place), ["stand_id"], [*fields, "_at"], order)
+        ends = last.select("stand_id", F.col("_at").alias("_end"))  # a row per stand
+        earlier = rows.join(F.broadcast(ends), "stand_id").where(place < F.col("_end"))
+        second = latest.latest_per_key(earlier, ["stand_id"], fields, order)
+        return last.select("stand_id", *fields, F.lit(1).alias("place")).unionByName(
+            second.select("stand_id", *fields, F.lit(0).alias("place"))
+        )
+
     def _state(self, readings: DataFrame, forecasts: DataFrame, n: int) -> DataFrame:
         fields = ["stand_name", "zone", "time", *STAND_STATE_COLUMNS, "tie"]
-        seen = latest.latest_per_key(readings, ["stand_id"], fields).withColumnRenamed("time", "last_updated")
+        seen = latest.latest_per_key(readings, ["stand_id"], fields, _inside(self.order_by)).withColumnRenamed("time", "last_updated")
         expected = ["predicted_wait_5min", "predicted_wait_10min", "halftime_spike_expected"]
-        predicted = latest.latest_per_key(forecasts, ["stand_id"], expected)
+        predicted = forecasts.join(F.broadcast(seen.select("stand_id", "tie")), ["stand_id", "tie"]).select("stand_id", *expected)
         old = self.stands.read(n - 1)
         if n == 0:
             seed = venue.stands(readings.sparkSession).select("stand_id", "stand_name", "zone")

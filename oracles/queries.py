@@ -142,8 +142,15 @@ sql(
 )
 CROWD_BUCKETS = f"SELECT {bucket(B)} AS bucket, zone, {mean('density')} AS avg_density, max(headcount) AS max_headcount, {mean('flow_rate')} AS avg_flow_rate FROM crowd GROUP BY 1, 2"
 QUEUE_BUCKETS = f"SELECT {bucket(B)} AS bucket, stand_id, stand_name, avg(queue_length) AS avg_queue_length, {mean('wait_minutes')} AS avg_wait_minutes, {mean('capacity_pct')} AS avg_capacity_pct FROM queue GROUP BY 1, 2, 3"
-sql("p8_recent_buckets", f"SELECT * FROM ({CROWD_BUCKETS}) WHERE zone = 'Gate-North' AND bucket > {DAY_BEFORE}", "crowd")
-sql("p9_gate_buckets", f"SELECT * FROM ({CROWD_BUCKETS}) WHERE zone LIKE 'Gate-%' AND bucket > {DAY_BEFORE}", "crowd")
+
+
+def until(buckets: str, table: str) -> str:
+    """The same buckets of the readings up to AS_OF."""
+    return buckets.replace(f"FROM {table} GROUP", f"FROM {table} WHERE time <= {AS_OF} GROUP")
+
+
+sql("p8_recent_buckets", f"SELECT * FROM ({until(CROWD_BUCKETS, 'crowd')}) WHERE zone = 'Gate-North' AND bucket > {DAY_BEFORE}", "crowd")
+sql("p9_gate_buckets", f"SELECT * FROM ({until(CROWD_BUCKETS, 'crowd')}) WHERE zone LIKE 'Gate-%' AND bucket > {DAY_BEFORE}", "crowd")
 sql("p10_bands", f"SELECT zone, {band('avg_density')} AS band, count(*) AS buckets FROM ({CROWD_BUCKETS}) GROUP BY 1, 2", "crowd")
 sql("p11_recommendations", "SELECT tie, stand_id, recommendation FROM advice", "advice")
 sql("p12_sensor_alerts", "SELECT time, tie, source_order, category, zone, stand_id, message FROM sensor_alerts", "sensor_alerts")
@@ -374,7 +381,7 @@ sql("t2_stands_by_wait", "SELECT stand_id, CASE WHEN stand_id <> 'A7' THEN wait_
 sql("t3_zones_by_name", "SELECT zone, density FROM zone_state", "zone_state")
 sql("t4_newest_alerts", "SELECT * FROM alerts WHERE NOT resolved ORDER BY time DESC, alert_id LIMIT 50", "alerts")
 sql("t5_newest_orders", "SELECT order_id, placed_at, stand_id, status FROM heads WHERE seat_id = 'L5' ORDER BY placed_at DESC, order_id LIMIT 20", "heads")
-sql("t6_queue_history", f"SELECT * FROM ({QUEUE_BUCKETS}) WHERE stand_id = 'B2' AND bucket > {DAY_BEFORE}", "queue")
+sql("t6_queue_history", f"SELECT * FROM ({until(QUEUE_BUCKETS, 'queue')}) WHERE stand_id = 'B2' AND bucket > {DAY_BEFORE}", "queue")
 sql("t8_stands_in_zone", f"SELECT zone, CAST({PLACE} AS INTEGER) AS place, stand_id, {rnd('wait_minutes', 2)} AS wait_minutes FROM (SELECT zone, stand_id, CASE WHEN stand_id <> 'A7' THEN wait_minutes END AS wait_minutes FROM stand_state)", "stand_state")
 sql("t10_latest_order_zone", LAST_ORDER, "heads")
 
@@ -562,7 +569,8 @@ sql(
 )
 sql(
     "r12_outcomes",
-    f"""SELECT tie, CASE WHEN tie % 4 = 0 THEN 'invalid_id' WHEN id IN (SELECT alert_id FROM alerts WHERE NOT resolved) THEN 'resolved' ELSE 'not_found' END AS outcome FROM ({ASKED})""",
+    f"""SELECT tie, CASE WHEN tie % 4 = 0 THEN 'invalid_id' WHEN nth = 1 AND id IN (SELECT alert_id FROM alerts WHERE NOT resolved) THEN 'resolved' ELSE 'not_found' END AS outcome
+        FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tie) AS nth FROM ({ASKED}))""",
     "alerts", "crowd",
 )
 
@@ -581,7 +589,7 @@ sql("r5_stream_buckets", f"SELECT * FROM ({CROWD_BUCKETS}) WHERE bucket + INTERV
 sql("r5_stream_queue_buckets", f"SELECT * FROM ({QUEUE_BUCKETS}) WHERE bucket + INTERVAL '{B}' <= (SELECT date_trunc('milliseconds', max(time)) - INTERVAL '10 minutes' FROM queue)", "queue")
 sql(
     "r6_late_readings",
-    """SELECT stand_id, last_updated, queue_length, kept FROM (SELECT stand_id, time AS last_updated, queue_length, row_number() OVER (PARTITION BY stand_id ORDER BY time DESC, tie DESC) AS rn
+    """SELECT stand_id, last_updated, queue_length, kept FROM (SELECT stand_id, time AS last_updated, queue_length, row_number() OVER (PARTITION BY stand_id ORDER BY time, tie % 1000) AS rn
         FROM queue WHERE time < TIMESTAMP '2024-01-16') JOIN (SELECT stand_id, count(*) AS kept FROM queue GROUP BY 1) USING (stand_id) WHERE rn = 1""",
     "queue",
 )
