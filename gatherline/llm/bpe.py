@@ -30,9 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches
+from .common import batches, mapped
 
-MEMO_UNITS = 800_000
+MEMO_UNITS = 300_000
 VECTOR_BYTES = 96  # longer words take their steps one by one
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -347,4 +347,4 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 }
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return mapped(docs.select("doc_id", "text"), run, SCHEMA)

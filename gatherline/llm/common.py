@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from ..session import scratch_path
 
 #: Words are runs of anything but the six ASCII white-space characters.
 SPACES = " \t\n\x0b\x0c\r"
+#: Bytes of an Arrow batch between Spark and Python, where the session doesn't set its own.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,18 +59,43 @@ def labelled_sample(
     return [t or "" for t in found["text"].to_pylist()], found["y"].to_numpy().astype(np.float64), share
 
 
-def batches(rows: Iterator[pa.RecordBatch], chars: int = 1 << 20) -> Iterator[list[list]]:
-    """Columns of slices of the batches, each with about ``chars`` characters in its second column."""
+def sliced(rows: Iterator[pa.RecordBatch], at: int = 1, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most ``size`` bytes in the texts of column ``at``, or one longer text."""
     for batch in rows:
-        columns = [c.to_pylist() for c in batch.columns]
-        start, held = 0, 0
-        for at, text in enumerate(columns[1]):
-            held += len(text) if text else 0
-            if held >= chars:
-                yield [c[start : at + 1] for c in columns]
-                start, held = at + 1, 0
-        if start < len(columns[0]):
-            yield [c[start:] for c in columns]
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def batches(rows: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[list[list]]:
+    """Columns of slices of the batches, each with about ``size`` bytes in its second column."""
+    for part in sliced(rows, 1, size):
+        yield [c.to_pylist() for c in part.columns]
+
+
+def mapped(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``docs.mapInArrow(run, schema)`` for whole texts: in small batches, and a task's memory goes back when it ends.
+
+    Python workers outlive their tasks, and Spark's own limit of a batch is 64 MB, so that
+    executors would hold several times that for every core, stage after stage.
+    """
+    conf = docs.sparkSession.conf
+    if BATCH_SETTING not in conf.getAll:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+    def released(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(rows)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+                trim(0)
+
+    return docs.mapInArrow(released, schema)
 
 
 def packed(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, mapped, sliced
 
 #: The base patterns, in the order in which kinds are listed, and their least lengths.
 ASSIGN = re.compile(
@@ -215,7 +215,7 @@ def learn(docs: DataFrame, per_kind: int = PER_KIND) -> Formats:
         )
 
     texts = docs.select(F.lit(0).alias("doc_id"), "text")
-    found = texts.mapInArrow(run, "kind int, value string, rank string").distinct()
+    found = mapped(texts, run, "kind int, value string, rank string").distinct()
     taken = [found.where(F.col("kind") == k).orderBy("rank", "value").limit(per_kind) for k in range(len(KINDS))]
     sample = taken[0].union(taken[1]).union(taken[2]).union(taken[3]).toArrow()
     values: list[list[str]] = [[] for _ in KINDS]
@@ -281,9 +281,8 @@ def scan(docs: DataFrame, formats: Formats | None = None, margin: float = MARGIN
                 names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        run, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
-    )
+    columns = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
+    return mapped(docs.select(F.col("doc_id").cast("bigint"), "text"), run, columns)
 
 
 def masked(text: str, spans: list[tuple[int, int, int]], mask: str = "[SECRET]") -> str:
@@ -304,7 +303,7 @@ def without_secrets(docs: DataFrame, formats: Formats, margin: float = MARGIN) -
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(shared.value, margin)
-        for batch in rows:
+        for batch in sliced(rows, text_at):
             old = batch.column(text_at).to_pylist()
             new = [masked(t, s) if t and (s := scanner.spans(t)[1]) else t for t in old]
             columns = list(batch.columns)
@@ -315,4 +314,4 @@ def without_secrets(docs: DataFrame, formats: Formats, margin: float = MARGIN) -
                 columns[chars_at] = pa.array(sizes, batch.schema.field(chars_at).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

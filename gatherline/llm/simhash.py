@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .common import packed
+from .common import mapped, packed, sliced
 
 SHINGLE, BITS = 4, 4
 BLOCK = 4096
@@ -63,13 +63,13 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp bigint): the 64-bit fingerprint of each document, as a signed number."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in sliced(rows):
             found = [fingerprint(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"]
             )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return mapped(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "doc_id bigint, fp bigint")
 
 
 def _choices(bits: int) -> list[tuple[int, ...]]:
@@ -283,7 +283,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> Da
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in sliced(rows):
             found = [fingerprint(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(np.array(found, np.uint64).view(np.int64))],
@@ -291,7 +291,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> Da
             )
 
     narrow = keyed.withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    placed = checkpointed(narrow.mapInArrow(run, "doc_id bigint, text_key bigint, fp bigint"))
+    placed = checkpointed(mapped(narrow, run, "doc_id bigint, text_key bigint, fp bigint"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     best = placed.groupBy("fp").agg(F.min(order).alias("best"))
     winners = best.join(_grouped(placed, bits), "fp").groupBy("root").agg(F.min("best").alias("best"))

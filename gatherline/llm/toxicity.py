@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, in_fold, labelled_sample
+from .common import batches, in_fold, labelled_sample, mapped, sliced
 
 GRAMS = (3, 4, 5)
 BUCKETS, SIZE = 1 << 17, 4
@@ -28,7 +28,7 @@ PER_CLASS = (6000, 1500)  # labelled documents to learn from, at most: not toxic
 STEPS, BATCH, RATE, DECAY = 320, 256, 0.05, 2e-4
 SCALE = 64.0  # of a document's mean: few of its words tell
 PAD = 20  # zero vectors in every mean, so that a few odd words are no verdict
-MEMO_WORDS = 500_000
+MEMO_WORDS = 100_000
 THRESHOLD = 0.3
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|"
 
@@ -136,10 +136,10 @@ class Scorer:
 
     def scores(self, texts: list[str | None]) -> list[float]:
         cut = [words(t) for t in texts]
-        new = list({w for ws in cut for w in ws}.difference(self.memo))
+        own = {w for ws in cut for w in ws}
+        new = list(own.difference(self.memo))
         if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo = {}
-            new = list({w for ws in cut for w in ws})
+            self.memo, new = {}, list(own)
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
             word, bucket = word_grams(part)
@@ -161,7 +161,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 [pa.array(doc_ids, pa.int64()), pa.array(scorer.scores(texts), pa.float64())], names=["doc_id", "score"]
             )
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, score double")
+    return mapped(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "doc_id bigint, score double")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, per_class: tuple[int, int] = PER_CLASS) -> Model:
@@ -195,14 +195,8 @@ def not_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in rows:
-            texts, keep, start = batch.column(at).to_pylist(), [], 0
-            held = 0
-            for i, text in enumerate(texts):
-                held += len(text) if text else 0
-                if held >= 1 << 20 or i == len(texts) - 1:
-                    keep += [s < threshold for s in scorer.scores(texts[start : i + 1])]
-                    start, held = i + 1, 0
+        for batch in sliced(rows, at):
+            keep = [s < threshold for s in scorer.scores(batch.column(at).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
