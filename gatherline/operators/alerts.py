@@ -135,25 +135,28 @@ def unresolved_critical(alerts: DataFrame) -> DataFrame:
     )
 
 
-def resolve(alerts: DataFrame, resolutions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply resolutions (columns ``alert_id``, any UUID spelling, and ``tie``, their order).
+def resolve(alerts: DataFrame, resolutions: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Apply resolutions: rows with ``alert_id`` (any UUID spelling) and, if named, a column of their order.
 
     Returns the updated alerts and one outcome row per resolution: resolved (the first
     request for an alert), not_found (no such unresolved alert, or resolved by an earlier
-    request) or invalid_id.
+    request) or invalid_id. Requests that share the first place of the order, and all
+    requests for an alert if no order is named, count as made at once: each is resolved.
+    A NULL place comes first.
     """
     asked = resolutions.withColumn("_id", canonical_uuid(F.col("alert_id")))
     ids = asked.where(F.col("_id").isNotNull()).select(F.col("_id").alias("alert_id")).distinct()
     marked = alerts.join(ids.withColumn("_hit", F.lit(True)), "alert_id", "left")
     updated = marked.withColumn("resolved", F.coalesce("_hit", "resolved")).drop("_hit")
-    open_ids = unresolved(alerts).select(F.col("alert_id").alias("_id")).distinct().withColumn("_open", F.lit(True))
-    first = asked.groupBy("_id").agg(F.min("tie").alias("_first")).join(open_ids, "_id")
+    place = F.struct(F.col(order) if order else F.lit(0))  # a struct, so that NULL is a least place
+    open_ids = unresolved(alerts).select(F.col("alert_id").alias("_id")).distinct()
+    first = asked.groupBy("_id").agg(F.min(place).alias("_first")).join(open_ids, "_id")
     outcome = (
         F.when(~is_uuid(F.col("alert_id")), "invalid_id")
-        .when(F.col("_open") & (F.col("tie") == F.col("_first")), "resolved")
+        .when(F.col("_first").isNotNull() & place.eqNullSafe(F.col("_first")), "resolved")
         .otherwise("not_found")
     )
-    outcomes = asked.join(first, "_id", "left").withColumn("outcome", outcome).drop("_id", "_open", "_first")
+    outcomes = asked.join(first, "_id", "left").withColumn("outcome", outcome).drop("_id", "_first")
     return updated, outcomes
 
 

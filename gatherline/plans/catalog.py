@@ -959,13 +959,13 @@ def _resolutions(d: Data) -> DataFrame:
 
 @query
 def r12_resolved_alerts(d):
-    updated, _ = alerts.resolve(d.alerts, _resolutions(d))
+    updated, _ = alerts.resolve(d.alerts, _resolutions(d), "tie")
     return updated.groupBy("category", "severity", "resolved").agg(F.count("*").alias("n"))
 
 
 @query
 def r12_outcomes(d):
-    _, outcomes = alerts.resolve(d.alerts, _resolutions(d))
+    _, outcomes = alerts.resolve(d.alerts, _resolutions(d), "tie")
     return outcomes.select("tie", "outcome")
 
 

@@ -9,6 +9,8 @@ import pytest
 import __spark_entry__ as entry_points
 from compare import compare, connect
 from conftest import SAMPLE
+from gatherline.plans.catalog import catalog
+from oracles.queries import oracle
 
 QUICK = [
     "s1_parse_crowd", "s4_quarantine", "s5_append_crowd", "s16_snapshot", "p6_unresolved_alerts", "p18_fan_zones",
@@ -30,7 +32,12 @@ def test_query(spark, db, name):
 
 
 def test_every_query_has_sql():
-    assert entry_points.queries().keys() == entry_points.oracle_sql().keys()
+    assert catalog().keys() == oracle().keys()
+
+
+def test_entry_points_hold_the_catalog():
+    assert catalog().keys() <= entry_points.queries().keys()
+    assert oracle().keys() <= entry_points.oracle_sql().keys() <= entry_points.queries().keys()
 
 
 def test_entry(spark):

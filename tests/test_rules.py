@@ -320,6 +320,20 @@ def test_resolution(spark):
     assert sorted(r.outcome for r in outcomes.collect()) == ["invalid_id", "not_found", "resolved"]
 
 
+def test_repeated_resolutions(spark):
+    """Of requests for one alert the first of the order resolves it; alerts are never doubled."""
+    ids = [f"00000000-0000-0000-0000-00000000000{i}" for i in range(2)]
+    found = spark.createDataFrame([(ids[0], False), (ids[1], None)], "alert_id string, resolved boolean")
+    rows = [(ids[0], 2, "late"), ("{" + ids[0] + "}", 1, "first"), (ids[1], None, "no place"), (ids[1], 5, "after"), (None, 3, "none")]
+    asked = spark.createDataFrame(rows, "alert_id string, at int, name string")
+    updated, outcomes = alerts.resolve(found, asked, "at")
+    assert sorted((r.alert_id, r.resolved) for r in updated.collect()) == [(ids[0], True), (ids[1], True)]
+    got = {r.name: r.outcome for r in outcomes.collect()}
+    assert got == {"late": "not_found", "first": "resolved", "no place": "resolved", "after": "not_found", "none": "invalid_id"}
+    _, at_once = alerts.resolve(found, asked)
+    assert {r.outcome for r in at_once.where("name != 'none'").collect()} == {"resolved"}
+
+
 def test_history_argument(spark):
     with pytest.raises(ValueError):
         rollup.history(None, "zone", "Gate-North", t(0), 4)
