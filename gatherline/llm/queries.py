@@ -12,6 +12,7 @@ from . import line_frequency
 from .common import table
 from .language import identify
 from .mixing import mixed
+from .packing import packed_pieces, piece_digests
 from .quality import quality
 from .secrets import scan
 from .simhash import components
@@ -70,6 +71,11 @@ def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return scan(table(spark, folder, "documents"))
 
 
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents in windows of 2048 tokens."""
+    return piece_digests(packed_pieces(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json")))
+
+
 def text_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -82,6 +88,7 @@ def text_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_mixing": op9_mixing,
         "op10_quality": op10_quality,
+        "op11_packing": op11_packing,
     }
 
 
