@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_documents
-from . import line_frequency
+from . import line_frequency, negatives
 from .common import table
 from .language import identify
 from .mixing import mixed
@@ -76,6 +76,11 @@ def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
     return piece_digests(packed_pieces(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json")))
 
 
+def op12_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector among all vectors."""
+    return negatives.hard_negatives(table(spark, folder, "embeddings"))
+
+
 def text_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -89,9 +94,10 @@ def text_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": op9_mixing,
         "op10_quality": op10_quality,
         "op11_packing": op11_packing,
+        "op12_negatives": op12_negatives,
     }
 
 
 def text_oracle() -> dict[str, str]:
     """SQL of the queries that it can express."""
-    return {"op3_line_frequency": line_frequency.SQL}
+    return {"op3_line_frequency": line_frequency.SQL, "op12_negatives": negatives.SQL}
