@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_documents
 from . import line_frequency, negatives
 from .common import table
+from .conversations import damaged, repair_report
 from .language import identify
 from .mixing import mixed
 from .packing import packed_pieces, piece_digests
@@ -81,6 +82,12 @@ def op12_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, folder, "embeddings"))
 
 
+def op13_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of every damaged conversation, its cheapest repair, and a digest of what that leaves."""
+    rows = table(spark, folder, "conversations")
+    return repair_report(damaged(rows), rows)
+
+
 def text_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -95,6 +102,7 @@ def text_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality": op10_quality,
         "op11_packing": op11_packing,
         "op12_negatives": op12_negatives,
+        "op13_conversations": op13_conversations,
     }
 
 
