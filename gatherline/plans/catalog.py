@@ -1033,6 +1033,67 @@ def r3_stream_stands(d):
     return _queues_streamed(d).stands.read(1).drop("tie")
 
 
+def _delivered(d: Data, job, readings: DataFrame):
+    """``job`` after four batches of Kafka-shaped rows of two source partitions.
+
+    The first has the first third of all readings, each sent twice; the second starts again in the middle
+    of the first; a tenth of the readings is lost before the third; the fourth is the third again.
+    """
+    path = scratch_path(d.spark, "kafka")
+    n = d.table("events").agg(F.max("event_id").alias("n")).first()["n"] or 0
+    third, lost, on = n // 3, n // 2, n // 2 + n // 10
+    fields = [c for c in readings.columns if c not in ("time", "tie")]
+    topic = venue.QUEUE_TOPIC if "stand_id" in readings.columns else venue.CROWD_TOPIC
+    rows = readings.withColumn("timestamp", text.iso_time(F.col("time"))).select(
+        F.lit(topic).alias("topic"),
+        F.lit("k").cast("binary").alias("key"),
+        F.to_json(F.struct("timestamp", *fields)).cast("binary").alias("value"),
+        (F.col("tie") % 2).cast("int").alias("partition"),
+        F.floor(F.col("tie") / 2).alias("offset"),
+        F.col("time").alias("timestamp"),
+        "tie",
+    )
+    between = lambda a, b: rows.where((F.col("tie") >= a) & (F.col("tie") <= b)).drop("tie")
+    last = between(on, n)
+    for batch in (between(0, third).unionAll(between(0, third)), between(third // 2, lost), last, last):
+        batch.write.mode("append").parquet(path)
+        stream = messages.kafka_rows(d.spark.readStream.schema(batch.schema).parquet(path))
+        job.start(stream).awaitTermination()
+    return job
+
+
+@query
+def r10_queue_deliveries(d):
+    """Forecasts of the queue stream when messages are repeated, replayed and lost."""
+    job = _delivered(d, reading_streams.QueueStream(d.spark, scratch_path(d.spark, "queues"), offsets=True), d.queues)
+    return tables.read_table(d.spark, f"{job.root}/wait_predictions").select(
+        "time", "stand_id", "queue_length", "predicted_wait_5min", "predicted_wait_10min",
+        "arrival_rate_lambda", "halftime_spike_expected", "recommendation",
+    )
+
+
+@query
+def r10_delivered_stands(d):
+    """Live stand state when messages are repeated, replayed and lost: one row per stand."""
+    job = _delivered(d, reading_streams.QueueStream(d.spark, scratch_path(d.spark, "queues"), offsets=True), d.queues)
+    return job.stands.read(3).drop("tie")
+
+
+@query
+def r10_crowd_deliveries(d):
+    """Flow forecasts of the crowd stream when messages are repeated, replayed and lost."""
+    job = _delivered(d, reading_streams.CrowdStream(d.spark, scratch_path(d.spark, "crowd"), offsets=True), d.crowd)
+    rows = tables.read_table(d.spark, f"{job.root}/flow_predictions").drop("date")
+    return rows.withColumn("avoid_zones", _joined("avoid_zones"))
+
+
+@query
+def r10_offsets(d):
+    """What the ledger says of every batch and source partition: taken and missing messages."""
+    job = _delivered(d, reading_streams.QueueStream(d.spark, scratch_path(d.spark, "queues"), offsets=True), d.queues)
+    return job.ledger.deliveries()
+
+
 def _events_stream(d: Data) -> DataFrame:
     reader = d.spark.readStream.schema(d.table("events").schema).option("pathGlobFilter", "events.parquet")
     return reader.parquet(d.sf_dir)

@@ -12,7 +12,9 @@ from ..schemas import BLE_MESSAGE, CCTV_MESSAGE, CROWD_MESSAGE, QUEUE_MESSAGE
 from . import venue
 
 _CORRUPT = "_corrupt"
-_KEPT = ("tie", "arrival")
+_KEPT = ("tie", "arrival", "received")
+#: Of a message's number: the bits of its offset; those above are of its source partition.
+OFFSET_BITS = 44
 
 # Lifecycle of an order.
 ORDER_STATUSES = ["placed", "preparing", "delivered", "cancelled"]
@@ -60,7 +62,7 @@ def failed_rules(rules: list[tuple[str, Column]]) -> Column:
 def parse(messages: DataFrame, topic: str) -> DataFrame:
     """Readings with a ``reasons`` column; an empty list marks a valid reading.
 
-    Input: ``value`` (JSON text) and optionally ``tie``/``arrival``.
+    Input: ``value`` (JSON text) and optionally ``tie``, ``arrival``, ``received``.
     """
     schema, defaults, rules = _rules(topic)
     corrupt_aware = T.StructType(schema.fields + [T.StructField(_CORRUPT, T.StringType())])
@@ -82,11 +84,11 @@ def parse(messages: DataFrame, topic: str) -> DataFrame:
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
-    return parsed.where(F.size("reasons") == 0).drop("reasons", "value")
+    return parsed.where(F.size("reasons") == 0).drop("reasons", "value", "received")
 
 
 def quarantined(parsed: DataFrame) -> DataFrame:
-    kept = [c for c in _KEPT if c in parsed.columns]
+    kept = [c for c in _KEPT if c in parsed.columns and c != "received"]
     return parsed.where(F.size("reasons") > 0).select(*kept, "value", "reasons")
 
 
@@ -154,22 +156,23 @@ def message_stream(spark: SparkSession, path: str, max_files: int | None = None)
 
 
 def kafka_rows(rows: DataFrame) -> DataFrame:
-    """Kafka's columns as (topic, key, value, tie, arrival), batch or stream.
+    """Kafka's columns as (topic, key, value, tie, arrival, received), batch or stream.
 
     ``tie`` is unique within a topic; offsets order one partition only, so messages of several
-    arrive by (timestamp, partition, offset).
+    arrive by (timestamp, partition, offset). ``received``: the source's timestamp.
     """
     return rows.select(
         "topic",
         F.col("key").cast("string").alias("key"),
         F.col("value").cast("string").alias("value"),
-        (F.shiftleft(F.col("partition").cast("bigint"), 44) + F.col("offset")).alias("tie"),
+        (F.shiftleft(F.col("partition").cast("bigint"), OFFSET_BITS) + F.col("offset")).alias("tie"),
         F.struct("timestamp", "partition", "offset").alias("arrival"),
+        F.col("timestamp").alias("received"),
     )
 
 
 def kafka_stream(spark: SparkSession, servers: str, topics: list[str], starting: str = "latest") -> DataFrame:
-    """Stream of (topic, key, value, tie, arrival) from Kafka; needs the Kafka package."""
+    """Stream of (topic, key, value, tie, arrival, received) from Kafka; needs the Kafka package."""
     return kafka_rows(
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)

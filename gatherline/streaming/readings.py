@@ -19,6 +19,7 @@ from ..operators.ordering import numbered
 from ..schemas import STAND_STATE_COLUMNS, ZONE_STATE_COLUMNS
 from ..sources import messages, tables, venue
 from ..sources.tables import Snapshots, append_batch
+from .delivery import Ledger, once, once_within
 
 ZONE_STATE = (
     "zone string, last_updated timestamp, density double, headcount int, flow_rate double, "
@@ -34,7 +35,8 @@ EVENT_TIME = "event_time"
 ARRIVAL = "arrival"
 
 
-def _start(stream: DataFrame, process, checkpoint: str, trigger: dict) -> StreamingQuery:
+def _start(stream: DataFrame, process, checkpoint: str, trigger: dict, within: str | None) -> StreamingQuery:
+    stream = once_within(stream, within) if within else stream
     return (
         stream.writeStream.foreachBatch(process)
         .option("checkpointLocation", checkpoint)
@@ -43,6 +45,18 @@ def _start(stream: DataFrame, process, checkpoint: str, trigger: dict) -> Stream
     )
 
 
+def _delivered(parsed: DataFrame, n: int, ledger: Ledger | None, process) -> None:
+    """One copy of each message of batch ``n``, without those of earlier batches if there is a ledger."""
+    rows = once(parsed)
+    rows = (ledger.admit(rows, n) if ledger else rows).persist()
+    try:
+        process(rows, n)
+        if ledger:
+            ledger.record(rows, n)
+    finally:
+        rows.unpersist()
+
+
 def _inside(order_by: str) -> list[str]:
     """The order of readings inside a batch."""
     return ["arrival", "tie"] if order_by == ARRIVAL else ["time", "tie"]
@@ -55,24 +69,24 @@ class CrowdStream:
     ``order_by`` decides the order of readings inside a batch, by which runs count them, and
     which reading of a zone is its state: the last to arrive (even if older), or the last by
     event time, which repeats on replays. Batches follow each other in either case.
+    ``offsets``: the messages' numbers are those of a source with offsets (see
+    :func:`~gatherline.sources.messages.kafka_rows`); what an earlier batch took is not taken again.
     """
 
-    def __init__(self, spark: SparkSession, root: str, order_by: str = ARRIVAL):
+    def __init__(self, spark: SparkSession, root: str, order_by: str = ARRIVAL, offsets: bool = False):
         self.root, self.order_by = root, order_by
+        self.ledger = Ledger(spark, f"{root}/ledger/crowd") if offsets else None
         self.zones = Snapshots(spark, f"{root}/zones", ZONE_STATE)
         self.recent = Snapshots(spark, f"{root}/recent", "index long, time timestamp, zone string, density double")
         self.smoothed = Snapshots(spark, f"{root}/smoothed", "zone string, smoothed double")
 
-    def start(self, stream: DataFrame, trigger: dict | None = None) -> StreamingQuery:
+    def start(self, stream: DataFrame, trigger: dict | None = None, within: str | None = None) -> StreamingQuery:
+        """``within``: drop copies of messages that come so long after each other (needs ``received``)."""
         parsed = messages.parse(stream, venue.CROWD_TOPIC)
-        return _start(parsed, self.process, f"{self.root}/_checkpoint/crowd", trigger or {"availableNow": True})
+        return _start(parsed, self.process, f"{self.root}/_checkpoint/crowd", trigger or {"availableNow": True}, within)
 
     def process(self, parsed: DataFrame, batch_id: int) -> None:
-        parsed.persist()
-        try:
-            self._process(parsed, batch_id)
-        finally:
-            parsed.unpersist()
+        _delivered(parsed, batch_id, self.ledger, self._process)
 
     def _process(self, parsed: DataFrame, n: int) -> None:
         readings = messages.accepted(parsed)
@@ -129,25 +143,23 @@ class CrowdStream:
 
 class QueueStream:
     """Queue messages to ``queue_readings``, ``stands``, ``wait_predictions``, ``alerts``
-    and ``messages`` under ``root``; one forecast per message."""
+    and ``messages`` under ``root``; one forecast per message. Arguments as of :class:`CrowdStream`."""
 
-    def __init__(self, spark: SparkSession, root: str, order_by: str = ARRIVAL):
+    def __init__(self, spark: SparkSession, root: str, order_by: str = ARRIVAL, offsets: bool = False):
         self.root, self.order_by = root, order_by
+        self.ledger = Ledger(spark, f"{root}/ledger/queues") if offsets else None
         self.stands = Snapshots(spark, f"{root}/stands", STAND_STATE)
         self.recent = Snapshots(
             spark, f"{root}/recent_queues", "stand_id string, time timestamp, tie long, queue_length int, place int"
         )
 
-    def start(self, stream: DataFrame, trigger: dict | None = None) -> StreamingQuery:
+    def start(self, stream: DataFrame, trigger: dict | None = None, within: str | None = None) -> StreamingQuery:
+        """``within``: drop copies of messages that come so long after each other (needs ``received``)."""
         parsed = messages.parse(stream, venue.QUEUE_TOPIC)
-        return _start(parsed, self.process, f"{self.root}/_checkpoint/queues", trigger or {"availableNow": True})
+        return _start(parsed, self.process, f"{self.root}/_checkpoint/queues", trigger or {"availableNow": True}, within)
 
     def process(self, parsed: DataFrame, batch_id: int) -> None:
-        parsed.persist()
-        try:
-            self._process(parsed, batch_id)
-        finally:
-            parsed.unpersist()
+        _delivered(parsed, batch_id, self.ledger, self._process)
 
     def _process(self, parsed: DataFrame, n: int) -> None:
         readings = messages.accepted(parsed)

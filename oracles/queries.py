@@ -584,6 +584,33 @@ sql(
     "advice",
 )
 _SQL["r3_stream_stands"] = _SQL["j9_stands_with_forecasts"]
+
+# Deliveries: a tenth of the readings after the middle never comes.
+M = "(SELECT max(event_id) FROM events)"
+ARRIVED = f"(SELECT * FROM events WHERE event_id <= {M} // 2 OR event_id >= {M} // 2 + {M} // 10) events"
+
+
+def _arrived(query: str) -> str:
+    return query.replace("FROM events", f"FROM {ARRIVED}")
+
+
+sql(
+    "r10_queue_deliveries",
+    """SELECT time, stand_id, queue_length, w5 AS predicted_wait_5min, w10 AS predicted_wait_10min, lam3 AS arrival_rate_lambda,
+        spike AS halftime_spike_expected, recommendation FROM advice""",
+    "advice",
+)
+_SQL["r10_queue_deliveries"] = _arrived(_SQL["r10_queue_deliveries"])
+_SQL["r10_delivered_stands"] = _arrived(_SQL["r3_stream_stands"])
+_SQL["r10_crowd_deliveries"] = _arrived(_SQL["r1_crowd_stream"])
+sql(
+    "r10_offsets",
+    f"""SELECT batch_id, partition, expected_offset, first_offset, last_offset, taken, last_offset + 1 - expected_offset - taken AS missing
+        FROM (SELECT *, coalesce(lag(last_offset) OVER (PARTITION BY partition ORDER BY batch_id) + 1, first_offset) AS expected_offset
+            FROM (SELECT batch_id, CAST(event_id % 2 AS INTEGER) AS partition, min(event_id // 2) AS first_offset, max(event_id // 2) AS last_offset, count(*) AS taken
+                FROM (SELECT CASE WHEN event_id <= {M} // 3 THEN 0 WHEN event_id <= {M} // 2 THEN 1 ELSE 2 END AS batch_id, event_id FROM {ARRIVED})
+                GROUP BY 1, 2))""",
+)
 # A bucket is closed once the newest reading is more than the lateness past its end.
 sql("r5_stream_buckets", f"SELECT * FROM ({CROWD_BUCKETS}) WHERE bucket + INTERVAL '{B}' <= (SELECT date_trunc('milliseconds', max(time)) - INTERVAL '10 minutes' FROM crowd)", "crowd")
 sql("r5_stream_queue_buckets", f"SELECT * FROM ({QUEUE_BUCKETS}) WHERE bucket + INTERVAL '{B}' <= (SELECT date_trunc('milliseconds', max(time)) - INTERVAL '10 minutes' FROM queue)", "queue")

@@ -10,7 +10,7 @@ from gatherline.operators import flow, latest, orders, rollup, routes, wait
 from gatherline.plans import twin
 from gatherline.plans.catalog import Data
 from gatherline.sources import tables, venue
-from gatherline.streaming import buckets, orders as order_streams, readings, routing
+from gatherline.streaming import buckets, delivery, orders as order_streams, readings, routing
 
 
 def rows_of(df, *fields):
@@ -183,3 +183,67 @@ def test_order(spark, folder):
     assert sent.key == "order:D-14"
     history = orders.order_history(tables.read_table(spark, f"{folder}/fan_orders"), "D-14", status="placed")
     assert history.count() == 1 and orders.order_history(history, "D-14", status="delivered").count() == 0
+
+
+STATE = ["stand_id", "stand_name", "last_updated", "queue_length", "is_open", "predicted_wait_5min", "halftime_spike_expected"]
+
+
+def kafka(df, first, last, partitions=3):
+    """Messages with ties from first to last as Kafka's columns."""
+    sent = batches(df, [])[0].where(F.col("tie").between(first, last))
+    times = df.select(F.col("tie").alias("t"), F.col("time").alias("timestamp"))
+    from gatherline.sources import messages
+
+    return messages.kafka_rows(
+        sent.join(times, F.col("tie") == F.col("t")).select(
+            F.lit("topic").alias("topic"), F.lit("k").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"),
+            (F.col("tie") % partitions).cast("int").alias("partition"), F.floor(F.col("tie") / partitions).alias("offset"), "timestamp",
+        )
+    )
+
+
+def test_repeated_and_replayed_messages(spark, folder, small):
+    """A message twice in a batch, and batches that overlap or come again, leave one row per stand and message."""
+    _, queues = small
+    job = readings.QueueStream(spark, folder, offsets=True)
+    first = kafka(queues, 0, 119)
+    parts = [first.union(first), kafka(queues, 60, 179), kafka(queues, 200, 299), kafka(queues, 200, 299)]
+    for n, batch in enumerate(parts):
+        for _ in range(2 if n == 1 else 1):  # one attempt is tried again
+            job.process(parsed(batch, venue.QUEUE_TOPIC), n)
+    arrived = queues.where("tie < 180 OR tie >= 200")
+    assert rows_of(job.stands.read(3), *STATE) == rows_of(twin.stands(arrived), *STATE)
+    assert tables.read_table(spark, f"{folder}/queue_readings").count() == arrived.count() == 280
+    fields = ["time", "stand_id", "predicted_wait_5min", "recommendation"]
+    assert rows_of(tables.read_table(spark, f"{folder}/wait_predictions"), *fields) == rows_of(wait.wait_forecasts(arrived), *fields)
+    found = job.ledger.deliveries().collect()
+    assert {r.batch_id: 0 for r in found} == {0: 0, 1: 0, 2: 0}
+    assert sum(r.missing for r in found) == 20 and all(r.missing == 0 for r in found if r.batch_id < 2)
+
+
+def test_ledger_of_new_partitions_and_unnumbered_messages(spark, folder):
+    ledger = delivery.Ledger(spark, folder)
+    number = lambda p, o: (p << 44) + o
+    frame = lambda ties: spark.createDataFrame([(t,) for t in ties], "tie long")
+    takes = []
+    for n, ties in enumerate([[number(0, 5), number(0, 6), None], [], [number(0, 6), number(0, 9), number(7, 0), None]]):
+        admitted = ledger.admit(frame(ties), n)
+        takes.append(sorted(r.tie if r.tie is not None else -1 for r in admitted.collect()))
+        ledger.record(admitted, n)
+    assert takes == [[-1, 5, 6], [], [-1, 9, number(7, 0)]]
+    found = {(r.batch_id, r.partition): (r.expected_offset, r.taken, r.missing) for r in ledger.deliveries().collect()}
+    assert found == {(0, 0): (5, 2, 0), (2, 0): (7, 1, 2), (2, 7): (0, 1, 0)}
+
+
+def test_copies_within_a_time_are_dropped_in_the_state_store(spark, folder, small):
+    """Copies in later batches go, also after a restart; readings that are late by their own time stay."""
+    _, queues = small
+    times = queues.select("tie", (F.timestamp_seconds(F.lit(1_700_000_000) + F.col("tie"))).alias("received"))
+    sent = batches(queues, [])[0].join(times, "tie")
+    job = readings.QueueStream(spark, f"{folder}/out")
+    for part in ("tie >= 150 AND tie < 200", "tie < 150 AND tie >= 100 OR tie >= 180 AND tie < 220", "tie >= 100 AND tie < 220"):
+        sent.where(part).coalesce(1).write.mode("append").json(f"{folder}/in")
+        stream = spark.readStream.schema("value string, tie long, arrival long, received timestamp").json(f"{folder}/in")
+        job.start(stream, within="1 hour").awaitTermination()
+    kept = tables.read_table(spark, f"{folder}/out/queue_readings")
+    assert sorted(r.tie for r in kept.collect()) == [r.tie for r in queues.where("tie BETWEEN 100 AND 219").orderBy("tie").collect()]
