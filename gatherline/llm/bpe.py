@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches, mapped
+from .common import batches, mapped, release_memory
 
 MEMO_UNITS = 300_000
 VECTOR_BYTES = 96  # longer words take their steps one by one
@@ -85,6 +85,13 @@ def splitter() -> re.Pattern:
     )
 
 
+def _widened(bits: np.ndarray, rows: int, columns: int, more_rows: int, more_bytes: int) -> np.ndarray:
+    """``bits`` with room for more rows or bytes; only what is in use is copied."""
+    out = np.zeros((len(bits) + more_rows, bits.shape[1] + more_bytes), np.uint8)
+    out[:rows, : -(-columns // 8)] = bits[:rows, : -(-columns // 8)]
+    return out
+
+
 class Automaton:
     """The compiled merges. ``Automaton.load(path)`` reads a byte-level BPE vocabulary file."""
 
@@ -123,40 +130,42 @@ class Automaton:
         for t, label in enumerate(self.labels):
             if t not in made and t not in reserved and label is not None and len(label) == 1:
                 group[t] = 1
-        allowed = np.zeros((1 << 14, 3 << 12), np.bool_)  # pages that are never written take no memory
-        allowed[0, 1] = True
+        # A bit per state and class, first bit high; rows and columns are added as they are needed.
+        allowed = np.zeros((1 << 12, 1 << 9), np.uint8)
+        allowed[0, 0] = 1 << 6  # class 1 in state 0
         in_state, in_group = [0] * (len(merges) + 2), [0] * (len(merges) + 3)
         in_state[0] = 1 + int((group == 1).sum())  # the start is in state 0, too
         in_group[1] = int((group == 1).sum())
         n_states, n_groups = 1, 2
         state_of, group_of = state.tolist(), group.tolist()
         for u, v, w in merges:
-            if not group_of[u] or not group_of[v] or not allowed[state_of[u], group_of[v]]:
+            c = group_of[v]
+            if not group_of[u] or not c or not allowed[state_of[u], c >> 3] >> (7 - (c & 7)) & 1:
                 continue  # v never follows u here, so w never occurs
             r = state_of[w] = state_of[v]
             in_state[r] += 1
             p = state_of[u]
             if n_states == len(allowed):
-                allowed = np.vstack([allowed, np.zeros((1 << 14, allowed.shape[1]), np.bool_)])
-            if n_groups == allowed.shape[1]:
-                allowed = np.hstack([allowed, np.zeros((len(allowed), 1 << 12), np.bool_)])
+                allowed = _widened(allowed, n_states, n_groups, 1 << 12, 0)
+            if n_groups == allowed.shape[1] * 8:
+                allowed = _widened(allowed, n_states, n_groups, 0, 1 << 9)
             if in_state[p] > 1:  # u leads to a copy of its own
                 allowed[n_states] = allowed[p]
                 in_state[p] -= 1
                 state_of[u], in_state[n_states] = n_states, 1
                 n_states += 1
-            c = group_of[v]
             if in_group[c] > 1:
-                allowed[:n_states, n_groups] = allowed[:n_states, c]
+                bits = allowed[:n_states, c >> 3] >> (7 - (c & 7)) & 1
+                allowed[:n_states, n_groups >> 3] |= bits << (7 - (n_groups & 7))
                 in_group[c] -= 1
                 group_of[v], in_group[n_groups] = n_groups, 1
                 n_groups += 1
-            allowed[state_of[u], group_of[v]] = False
+            g = group_of[v]
+            allowed[state_of[u], g >> 3] &= ~(1 << (7 - (g & 7))) & 255
             group_of[w] = group_of[u]
             in_group[group_of[w]] += 1
         self.state_of, self.group_of = np.array(state_of, np.int32), np.array(group_of, np.int32)
-        parts = [np.packbits(allowed[i : min(i + 1024, n_states), :n_groups], axis=1) for i in range(0, n_states, 1024)]
-        self.allowed = np.concatenate(parts)
+        self.allowed = allowed[:n_states, : -(-n_groups // 8)].copy()
 
     def spell(self) -> None:
         """Tables of the transitions over bytes: a trie of the labels of tokens that occur."""
@@ -332,6 +341,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """
     name = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast(Automaton.load(path))
+    release_memory()
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _spelled(name, shared)

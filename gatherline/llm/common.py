@@ -77,6 +77,13 @@ def batches(rows: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[lis
         yield [c.to_pylist() for c in part.columns]
 
 
+def release_memory() -> None:
+    """Give back what is no longer used, on the driver or in a Python worker."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def mapped(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``docs.mapInArrow(run, schema)`` for whole texts: in small batches, and a task's memory goes back when it ends.
 
@@ -91,9 +98,7 @@ def mapped(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
         try:
             yield from run(rows)
         finally:
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
-                trim(0)
+            release_memory()
 
     return docs.mapInArrow(released, schema)
 

@@ -12,6 +12,7 @@ score. Training passes and scoring use that; the model stays the table and the s
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, in_fold, labelled_sample, mapped, sliced
+from .common import batches, in_fold, labelled_sample, mapped, release_memory, sliced
 
 GRAMS = (3, 4, 5)
 BUCKETS, SIZE = 1 << 17, 4
@@ -56,21 +57,47 @@ def word_grams(spelled: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(buckets)
 
 
-def _bag(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, bucket, weight): the share of each n-gram in each document's mean."""
-    docs, spelled, counts = [], [], []
-    for i, text in enumerate(texts):
-        own, n = np.unique(np.array(words(text), object), return_counts=True) if text.split() else ([], np.zeros(0))
-        docs += [i] * len(own)
-        spelled += list(own)
-        counts.append(n / (PAD + n.sum()))
-    if not spelled:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32)
-    word, bucket = word_grams(spelled)
-    weight = np.concatenate(counts)[word] / np.bincount(word, minlength=len(spelled))[word]
-    del spelled
-    both, at = np.unique(np.array(docs, np.int32)[word].astype(np.int64) * BUCKETS + bucket, return_inverse=True)
-    return (both // BUCKETS).astype(np.int32), (both % BUCKETS).astype(np.int32), np.bincount(at, weight).astype(np.float32)
+class Bags:
+    """Bags of the documents to learn from: the n-grams of every distinct word once, and each batch's words.
+
+    A batch is (document, place of the word among the batch's distinct ones, weight in the document's mean,
+    the distinct words' numbers); a document's words are shared by all that have them.
+    """
+
+    def __init__(self, batches_of_texts: list[list[str]]):
+        numbers: dict[str, int] = {}
+        sizes, grams = [], []
+        self.batches = []
+        for texts in batches_of_texts:
+            docs, own, weights, fresh = [], [], [], []
+            for i, text in enumerate(texts):
+                counts = Counter(words(text))
+                total = PAD + sum(counts.values())
+                for word, n in counts.items():
+                    if (number := numbers.get(word)) is None:
+                        number = numbers[word] = len(numbers)
+                        fresh.append(word)
+                    docs.append(i)
+                    own.append(number)
+                    weights.append(n / total)
+            for start in range(0, len(fresh), 5000):
+                part = fresh[start : start + 5000]
+                word, bucket = word_grams(part)
+                order = np.argsort(word, kind="stable")
+                grams.append(bucket[order].astype(np.int32))
+                sizes.append(np.bincount(word, minlength=len(part)).astype(np.int32))
+            distinct, place = np.unique(np.array(own, np.int32), return_inverse=True)
+            self.batches.append((np.array(docs, np.int16), place.astype(np.int32), np.array(weights, np.float32), distinct))
+        self.sizes = np.concatenate([np.zeros(0, np.int32), *sizes])
+        self.grams = np.concatenate([np.zeros(0, np.int32), *grams])
+        self.starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+
+    def of(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, bucket) of every n-gram of the words with these numbers."""
+        size = self.sizes[distinct]
+        place = np.repeat(np.arange(len(distinct), dtype=np.int32), size)
+        first = np.cumsum(size, dtype=np.int64) - size
+        return place, self.grams[np.arange(len(place)) - (first - self.starts[distinct])[place]]
 
 
 @dataclass
@@ -89,6 +116,25 @@ class Model:
         return float(self.bias[1] - self.bias[0])
 
 
+def slopes_of(model: Model, bags: Bags, batch: int, want: np.ndarray) -> list[np.ndarray]:
+    """Slopes of the mean loss of a batch in the vectors, the softmax and the bias."""
+    doc, place, weight, distinct = bags.batches[batch]
+    word, bucket = bags.of(distinct)
+    size, n = bags.sizes[distinct], len(want)
+    lean = model.softmax[:, 1] - model.softmax[:, 0]
+    word_score = np.bincount(word, (model.vectors @ lean)[bucket], len(distinct)) / size
+    logit = SCALE * np.bincount(doc, weight * word_score[place], n) + model.intercept()
+    error = (1 / (1 + np.exp(-logit)) - want) / n  # of the toxic class; the other's is its opposite
+    word_error = np.bincount(place, weight * error[doc], len(distinct)) / size
+    pull = SCALE * np.bincount(bucket, word_error[word], BUCKETS)
+    mean_error = model.vectors.T @ pull
+    return [
+        np.outer(pull, lean).astype(np.float32),
+        np.stack([-mean_error, mean_error], axis=1),
+        np.array([-error.sum(), error.sum()]),
+    ]
+
+
 def train(texts: list[str], y: np.ndarray, share: float, steps: int = STEPS, seed: int = 7) -> Model:
     """Fit vectors and softmax together by Adam on batches of documents; ``share``: of label 1 among all labels."""
     rng = np.random.default_rng(seed)
@@ -99,25 +145,17 @@ def train(texts: list[str], y: np.ndarray, share: float, steps: int = STEPS, see
         return model
     order = rng.permutation(len(texts))
     parts = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
-    bags = [(*_bag([texts[i] for i in part]), y[part]) for part in parts]
+    bags = Bags([[texts[i] for i in part] for part in parts])
+    wanted = [y[part] for part in parts]
     params = [model.vectors, model.softmax, model.bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     turn: list[int] = []
     for step in range(1, steps + 1):
-        turn = turn or rng.permutation(len(bags)).tolist()
-        doc, bucket, weight, want = bags[turn.pop()]
-        rate, n = RATE * (1 - (step - 1) / steps), len(want)
-        lean = model.softmax[:, 1] - model.softmax[:, 0]
-        grams = model.vectors @ lean
-        logit = SCALE * np.bincount(doc, weight * grams[bucket], n) + model.intercept()
-        error = (1 / (1 + np.exp(-logit)) - want) / n  # of the toxic class; the other's is its opposite
-        pull = SCALE * np.bincount(bucket, weight * error[doc], BUCKETS)
-        mean_error = model.vectors.T @ pull
-        slopes = [
-            np.outer(pull, lean).astype(np.float32) + np.float32(DECAY) * model.vectors,
-            np.stack([-mean_error, mean_error], axis=1),
-            np.array([-error.sum(), error.sum()]),
-        ]
+        turn = turn or rng.permutation(len(parts)).tolist()
+        at = turn.pop()
+        rate = RATE * (1 - (step - 1) / steps)
+        slopes = slopes_of(model, bags, at, wanted[at])
+        slopes[0] += np.float32(DECAY) * model.vectors
         for p, g, m, v in zip(params, slopes, first, second, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -165,7 +203,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, per_class: tuple[int, int] = PER_CLASS) -> Model:
-    return train(*labelled_sample(docs, labels, "toxic", per_class, folds, held_out))
+    model = train(*labelled_sample(docs, labels, "toxic", per_class, folds, held_out))
+    release_memory()
+    return model
 
 
 def toxicity(

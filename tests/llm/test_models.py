@@ -70,6 +70,41 @@ def test_toxicity_of_unseen_misspellings(spark):
     assert np.array_equal(model.vectors, again.vectors)
 
 
+def average(model, text):
+    """The logit of a text, vector by vector."""
+    total = np.zeros(toxicity.SIZE)
+    own = toxicity.words(text)
+    for w in own:
+        _, bucket = toxicity.word_grams([w])
+        total += model.vectors[bucket].astype(float).mean(axis=0)
+    both = toxicity.SCALE * (total / (toxicity.PAD + len(own))) @ model.softmax + model.bias
+    return both[1] - both[0]
+
+
+def test_toxicity_is_as_averaging_vectors():
+    """Scores and slopes of the factorised form against vectors averaged one by one and small steps."""
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(rng.normal(0, 0.1, (toxicity.BUCKETS, toxicity.SIZE)), rng.normal(0, 0.1, (toxicity.SIZE, 2)), np.array([0.2, -0.1]))
+    texts = ["the cat sat. The cat sat", "Zorgwit! é <a>", "", "x" * 50 + " the"]
+    y = np.array([0.0, 1.0, 1.0, 0.0])
+    probability = lambda t: 1 / (1 + np.exp(-average(model, t)))
+    assert np.allclose(toxicity.Scorer(model).scores(texts), [probability(t) for t in texts], rtol=1e-6)
+
+    def loss():
+        p = np.array([probability(t) for t in texts])
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    bags = toxicity.Bags([["other words"], texts])
+    slopes = toxicity.slopes_of(model, bags, 1, y)
+    used = toxicity.word_grams(["cat", "zorgwit!"])[1][:6]
+    for part, values, places in ((0, model.vectors, [(b, 1) for b in used]), (1, model.softmax, [(0, 0), (2, 1)]), (2, model.bias, [(0,), (1,)])):
+        for at in places:
+            kept, values[at] = values[at], values[at] + 1e-4
+            up, values[at] = loss(), kept - 1e-4
+            down, values[at] = loss(), kept
+            assert np.isclose((up - down) / 2e-4, slopes[part][at], rtol=1e-3, atol=1e-7), (part, at)
+
+
 def test_word_scores_are_means_over_grams():
     word, bucket = toxicity.word_grams(["abcd", "x"])
     assert np.bincount(word).tolist() == [1 + 4 + 3 + 2, 1 + 1]  # "<abcd>" and "<x>" with the words themselves
