@@ -21,6 +21,11 @@ _CCTV = ["zone", "time", "headcount_estimate", "motion_intensity", "anomaly_dete
 _KINDS = {"crowd": ("sensor_id", _CROWD), "queue": ("sensor_id", _QUEUE), "ble": ("beacon_id", _BLE), "cctv": ("camera_id", _CCTV)}
 
 
+def sensor_fields(kind: str) -> tuple[str, list[str]]:
+    """The sensor column of readings of a kind (crowd, queue, ble, cctv), and the fields a snapshot shows of them."""
+    return _KINDS[kind]
+
+
 def venue_density(crowd: DataFrame, keys: list[str]) -> DataFrame:
     """Mean density over sensors (not zones); 0 without readings."""
     mean = F.coalesce(exact_mean(F.col("density")), F.lit(0.0))

@@ -17,6 +17,7 @@ from ..operators.ordering import numbered
 from ..session import scratch_path, use_utc
 from ..sources import adapters, messages, tables, venue
 from ..streaming import buckets as bucket_streams
+from ..streaming import keyed as keyed_streams
 from ..streaming import orders as order_streams
 from ..streaming import readings as reading_streams
 from ..streaming import routing as routing_streams
@@ -311,6 +312,42 @@ def s17_snapshots(d):
     return _flat_snapshot(snapshot.snapshots_per_tick(_readings(d), TICK))
 
 
+#: What snapshots list of a sensor, beside its name and time: list, texts and flags, numbers.
+_LISTED = {
+    "crowd": ("crowd_sensors", ["zone", "direction"], ["density", "headcount", "flow_rate"]),
+    "queue": ("queue_sensors", ["stand_id", "stand_name", "zone", "is_open"], ["queue_length", "wait_minutes", "capacity_pct"]),
+    "ble": ("ble_beacons", ["location_label", "zone"], ["active_devices", "rssi_avg", "dwell_time_avg"]),
+    "cctv": ("cctv_cameras", ["zone", "anomaly_detected", "anomaly_type"], ["headcount_estimate", "motion_intensity"]),
+}
+
+
+def sensor_rows(snapshots: DataFrame) -> DataFrame:
+    """A row per sensor that a snapshot lists, with all its fields."""
+    parts = []
+    for kind, (name, texts, numbers) in _LISTED.items():
+        sensor, _ = snapshot.sensor_fields(kind)
+        each = snapshots.select(F.col("time").alias("tick"), F.inline(name))
+        values = [F.col(c).cast("double") for c in numbers] + [F.lit(None).cast("double")] * (3 - len(numbers))
+        parts.append(each.select(
+            "tick", F.lit(kind).alias("kind"), F.col(sensor).alias("sensor"), "time",
+            F.concat_ws("|", *[F.col(c).cast("string") for c in texts]).alias("words"),
+            *[v.alias(f"value_{i}") for i, v in enumerate(values, 1)],
+        ))
+    return alerts.union(parts)
+
+
+@query
+def s16_sensor_rows(d):
+    """All fields of all sensors in the snapshot at one time."""
+    return sensor_rows(snapshot.snapshot_at(_readings(d), AS_OF))
+
+
+@query
+def s17_sensor_rows(d):
+    """All fields of all sensors in the snapshots of all ticks."""
+    return sensor_rows(snapshot.snapshots_per_tick(_readings(d), TICK))
+
+
 # --- projections and filters -------------------------------------------------
 
 
@@ -1017,6 +1054,35 @@ def r1_stream_zones(d):
     return _crowd_streamed(d).zones.read(1).drop("position")
 
 
+def _halves(d: Data, run) -> None:
+    """``run`` with a stream of events, when their first half is there and again with the second."""
+    events, path = d.table("events"), scratch_path(d.spark, "events")
+    middle = at(datetime(2024, 1, 16)).cast(events.schema["ts"].dataType)
+    for half in (F.col("ts") < middle, F.col("ts") >= middle):
+        events.where(half).write.mode("append").parquet(path)
+        run(d.spark.readStream.schema(events.schema).parquet(path)).awaitTermination()
+
+
+@query
+def s17_snapshot_stream(d):
+    """Snapshots told by timers of the state store, for the ticks that the watermark has passed."""
+    job = keyed_streams.SnapshotStream(d.spark, scratch_path(d.spark, "ticks"), TICK)
+    kinds = {"crowd": adapters.crowd, "queue": adapters.queues, "ble": adapters.ble, "cctv": adapters.cctv}
+    _halves(d, lambda events: job.start({kind: read(events) for kind, read in kinds.items()}))
+    return _flat_snapshot(job.snapshots())
+
+
+@query
+def r3_state_store_forecasts(d):
+    """Wait forecasts with the last queue lengths of every stand in the state store."""
+    path = scratch_path(d.spark, "forecasts")
+    _halves(d, lambda events: keyed_streams.start_forecasts(adapters.queues(events), path))
+    return d.spark.read.parquet(f"{path}/wait_predictions").select(
+        "tie", "time", "stand_id", "queue_length", "predicted_wait_5min", "predicted_wait_10min",
+        "arrival_rate_lambda", "halftime_spike_expected", "recommendation",
+    )
+
+
 @query
 def r2_queue_stream(d):
     """Wait forecasts of the queue stream, over several batches."""

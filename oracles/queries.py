@@ -127,6 +127,32 @@ ALL_TICKS = f"SELECT unnest(generate_series((SELECT min({bucket(T)}) FROM crowd)
 _SQL["s16_snapshot"] = snapshot_sql(f"SELECT {AS_OF} AS tick", "<=")
 _SQL["s17_snapshots"] = snapshot_sql(ALL_TICKS, "<")
 
+
+
+def sensor_rows_sql(ticks: str, upto: str) -> str:
+    """All listed fields of the last reading of every sensor at every tick."""
+    listed = [
+        ("crowd", "sensor_id", ["zone", "direction"], ["density", "headcount", "flow_rate"]),
+        ("queue", "sensor_id", ["stand_id", "stand_name", "zone", "is_open"], ["queue_length", "wait_minutes", "capacity_pct"]),
+        ("ble", "beacon_id", ["location_label", "zone"], ["active_devices", "rssi_avg", "dwell_time_avg"]),
+        ("cctv", "camera_id", ["zone", "anomaly_detected", "anomaly_type"], ["headcount_estimate", "motion_intensity", "NULL"]),
+    ]
+    parts = [
+        f"""SELECT k.tick, '{kind}' AS kind, r.{key} AS sensor, r.time, concat_ws('|', {", ".join(f"CAST(r.{t} AS VARCHAR)" for t in texts)}) AS words,
+            {", ".join(f"CAST({n} AS DOUBLE) AS value_{i}" for i, n in enumerate(numbers, 1))}
+            FROM (SELECT tick, {key} FROM ticks, (SELECT DISTINCT {key} FROM {kind})) k ASOF JOIN {kind} r ON r.{key} = k.{key} AND r.time {upto} k.tick"""
+        for kind, key, texts, numbers in listed
+    ]
+    return compose_with(" UNION ALL ".join(parts), ["crowd", "queue", "ble", "cctv"], {"ticks": ticks})
+
+
+_SQL["s16_sensor_rows"] = sensor_rows_sql(f"SELECT {AS_OF} AS tick", "<=")
+_SQL["s17_sensor_rows"] = sensor_rows_sql(ALL_TICKS, "<")
+# A tick is told once the newest reading is more than the lateness past its end.
+_SQL["s17_snapshot_stream"] = snapshot_sql(
+    f"SELECT tick FROM ({ALL_TICKS}) WHERE tick <= (SELECT date_trunc('milliseconds', max(time)) - INTERVAL '10 minutes' FROM crowd)", "<"
+)
+
 # --- projections and filters
 sql("p1_zone_readings", "SELECT tie, time, sensor_id, density, headcount FROM crowd WHERE zone = 'Concourse-A'", "crowd")
 sql("p2_stand_lookup", "SELECT * FROM stand_state WHERE stand_id = 'C4'", "stand_state")
@@ -583,6 +609,7 @@ sql(
         spike AS halftime_spike_expected, recommendation FROM advice""",
     "advice",
 )
+_SQL["r3_state_store_forecasts"] = _SQL["r2_queue_stream"]
 _SQL["r3_stream_stands"] = _SQL["j9_stands_with_forecasts"]
 
 # Deliveries: a tenth of the readings after the middle never comes.
