@@ -71,12 +71,15 @@ def latest_order_zone(orders: DataFrame) -> DataFrame:
     )
 
 
-def with_fan_zone(df: DataFrame, orders: DataFrame | None = None) -> DataFrame:
-    """Add ``fan_zone``: that of the seat's latest order, else from the seat id."""
+def with_fan_zone(df: DataFrame, orders: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Add ``fan_zone``: that of the seat's latest order, else from the seat id.
+
+    ``known``: (seat_id, ordered_zone) where :func:`latest_order_zone` of the orders is at hand.
+    """
     inferred = seat_zone(F.col("seat_id"))
-    if orders is None:
+    if known is None and orders is None:
         return df.withColumn("fan_zone", inferred)
-    known = latest_order_zone(orders)
+    known = latest_order_zone(orders) if known is None else known
     return (
         df.join(known, "seat_id", "left")
         .withColumn("fan_zone", F.coalesce("ordered_zone", inferred))
@@ -84,6 +87,10 @@ def with_fan_zone(df: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     )
 
 
+#: What an order needs to know of its stand.
+STATE_AT_ORDER = ["predicted_wait_5min", "is_open"]
+
+
 def place_orders(
     requests: DataFrame,
     forecasts: DataFrame,
@@ -102,18 +109,30 @@ def place_orders(
     """
     rows = checked(requests)
     acceptable = rows.where(F.size("reasons") == 0)
-    stated = with_state_at(acceptable, forecasts, ["predicted_wait_5min", "is_open"], rows_per_task)
-    closed = ~F.coalesce(F.col("state.is_open"), F.lit(True))
+    stated = with_state_at(acceptable, forecasts, STATE_AT_ORDER, rows_per_task)
+    return decided(rows.where(F.size("reasons") > 0), stated, default_forecasts, snapshots, tick, orders, None, graph)
+
 
+def decided(
+    faulty: DataFrame,
+    stated: DataFrame,
+    default_forecasts: DataFrame,
+    snapshots: DataFrame,
+    tick: str,
+    orders: DataFrame | None = None,
+    known_zones: DataFrame | None = None,
+    graph: Graph = VENUE,
+) -> tuple[DataFrame, DataFrame]:
+    """Accepted and rejected orders, of requests that have faults (``reasons``) and of others with the
+    ``state`` of their stand as they were placed."""
+    closed = ~F.coalesce(F.col("state.is_open"), F.lit(True))
     kept = ["placed_at", "tie", "seat_id", "stand_id", "reasons"]
-    rejected = (
-        rows.where(F.size("reasons") > 0)
-        .select(*kept)
-        .unionByName(stated.where(closed).withColumn("reasons", F.array(F.lit(CLOSED_STAND))).select(*kept))
+    rejected = faulty.select(*kept).unionByName(
+        stated.where(closed).withColumn("reasons", F.array(F.lit(CLOSED_STAND))).select(*kept)
     )
 
     cold = default_forecasts.select("stand_id", F.col("predicted_wait_5min").alias("_cold_wait"))
-    taken = with_fan_zone(stated.where(~closed), orders).join(F.broadcast(cold), "stand_id", "left")
+    taken = with_fan_zone(stated.where(~closed), orders, known_zones).join(F.broadcast(cold), "stand_id", "left")
     taken = taken.withColumn("snapshot", F.window("placed_at", tick)["start"])
     stand_zones = sorted({s[2] for s in venue.STANDS})
     found = with_searches(taken, snapshots, "snapshot", "stand_zone", stand_zones, graph)

@@ -1221,3 +1221,39 @@ def r11_order_stream(d):
         "tie", "placed_at", "seat_id", "stand_id", "zone", "queue_wait_minutes", "walk_minutes",
         "delivery_eta_minutes", "delivery_eta_timestamp", "total_price", "status",
     )
+
+
+def _joined_orders(d: Data) -> str:
+    """Root of the order job over JSON order messages, forecasts and densities, all as streams, after two halves."""
+    root = scratch_path(d.spark, "orders")
+    zones = order_streams.known_zones(d.order_heads, f"{root}/known_zones")
+    forecasts = wait.wait_forecasts(d.queues.limit(0)).schema
+
+    def run(events: DataFrame):
+        crowd = bucket_streams.crowd_bucket_stream(adapters.crowd(events), BUCKET)
+        bucket_streams.start(crowd, f"{root}/densities", f"{root}/_checkpoint/densities", {"availableNow": True}).awaitTermination()
+        keyed_streams.start_forecasts(adapters.queues(events), root).awaitTermination()
+        asked = adapters.order_requests(events).withColumn("timestamp", text.iso_time(F.col("placed_at")))
+        sent = asked.select("tie", F.to_json(F.struct("timestamp", "seat_id", "stand_id", "items", "special_instructions")).alias("value"))
+        job = order_streams.JoinedOrderStream(d.spark, root, f"{root}/densities", BUCKET, zones)
+        return job.start(sent, d.spark.readStream.schema(forecasts).parquet(f"{root}/wait_predictions"))
+
+    _halves(d, run)
+    return root
+
+
+@query
+def r11_joined_orders(d):
+    """Orders of JSON messages joined with the streams of forecasts and densities, of ticks that are over."""
+    return tables.read_table(d.spark, f"{_joined_orders(d)}/fan_orders").select(
+        "tie", "placed_at", "seat_id", "stand_id", "zone", "queue_wait_minutes", "walk_minutes",
+        "delivery_eta_minutes", "delivery_eta_timestamp", "total_price", "status",
+    )
+
+
+@query
+def r11_joined_rejections(d):
+    """Requests that the joined order stream rejects, of ticks that are over."""
+    schema = "placed_at timestamp, tie long, seat_id string, stand_id string, reason string"
+    rows = d.spark.read.schema(schema).json(f"{_joined_orders(d)}/rejected")
+    return rows.select("tie", "stand_id", F.col("reason").alias("reasons"))

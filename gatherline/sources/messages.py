@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import parse_time, stand_key
-from ..schemas import BLE_MESSAGE, CCTV_MESSAGE, CROWD_MESSAGE, QUEUE_MESSAGE
+from ..schemas import BLE_MESSAGE, CCTV_MESSAGE, CROWD_MESSAGE, ORDER_REQUEST, QUEUE_MESSAGE
 from . import venue
 
 _CORRUPT = "_corrupt"
@@ -108,6 +108,26 @@ def order_faults() -> list[tuple[str, Column]]:
     ]
 
 
+def parse_orders(messages: DataFrame) -> DataFrame:
+    """Order requests of JSON messages: placed_at, tie, seat_id, stand_id, items, special_instructions, value, reasons.
+
+    The request's ``timestamp`` is the time it was placed. ``reasons`` names what cannot be read at all or is
+    missing; the rules of :func:`order_faults` come later.
+    """
+    schema = T.StructType([T.StructField("timestamp", T.StringType()), *ORDER_REQUEST.fields])
+    corrupt_aware = T.StructType(schema.fields + [T.StructField(_CORRUPT, T.StringType())])
+    rows = messages.select(
+        "tie", "value", F.from_json("value", corrupt_aware, {"columnNameOfCorruptRecord": _CORRUPT}).alias("m")
+    ).select("tie", "value", "m.*", parse_time(F.col("m.timestamp")).alias("placed_at"))
+    rules = _required(schema, ("special_instructions", "items"))
+    rules += [("bad timestamp", F.col("timestamp").isNotNull() & F.col("placed_at").isNull())]
+    unreadable = F.col(_CORRUPT).isNotNull()
+    reasons = F.when(unreadable, F.array(F.lit("unreadable"))).otherwise(failed_rules(rules))
+    return rows.select(
+        "placed_at", "tie", "seat_id", "stand_id", "items", "special_instructions", "value", reasons.alias("reasons")
+    )
+
+
 def valid_status(status: Column) -> Column:
     return F.coalesce(status.isin(ORDER_STATUSES), F.lit(False))
 

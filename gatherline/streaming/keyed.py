@@ -2,9 +2,10 @@
 
 Unlike the versioned folders of :mod:`.readings`, a batch reads and writes the state of
 the keys it has readings of, and nothing else; the store's checkpoints bring it back after a
-failure. Two jobs:
+failure:
 
 * :func:`forecast_stream`: a stand's last two queue lengths, for its next forecast;
+* :func:`last_before`: events with the state of their key as they happened, of two streams;
 * :class:`SnapshotStream`: a sensor's readings that no tick has taken yet. Timers in event time
   end the ticks, so that every tick is told, with or without a reading in it.
 
@@ -18,7 +19,7 @@ from contextlib import contextmanager
 from datetime import timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -109,6 +110,102 @@ def start_forecasts(queues: DataFrame, path: str, trigger: dict | None = None, *
         )
 
 
+# --- the state at the time of an event ------------------------------------------------------------
+
+
+class LastBefore(StatefulProcessor):
+    """Events (side 0) of a key, each with the last state (side 1) at or before it.
+
+    An event waits until the watermark has passed the time it is ``due``. Of the states, the last one that
+    an event still to come can need is kept, and those after it.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.states = handle.getListState("states", "at long, tie long, payload string")
+        self.events = handle.getListState("events", "at long, tie long, due long, payload string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        dues, new = set(), []
+        for r in rows:
+            if r.side == 0:
+                self.events.appendValue((r.at, r.tie, r.due, r.payload))
+                dues.add(r.due)
+            else:
+                new.append((r.at, r.tie, r.payload))
+        for due in dues:
+            self.handle.registerTimer(due)
+        if new:
+            self._keep([*self._known(), *new], self._waiting(), timerValues.getCurrentWatermarkInMs())
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        until = timerValues.getCurrentWatermarkInMs()
+        states, waiting = sorted(self._known()), self._waiting()
+        ready = sorted(e for e in waiting if e[2] <= until)
+        place = 0
+        for at, tie, _, payload in ready:
+            while place < len(states) and states[place][0] <= at:
+                place += 1
+            yield Row(key=key[0], at=at, tie=tie, payload=payload, state=states[place - 1][2] if place else None)
+        if ready:
+            left = [e for e in waiting if e[2] > until]
+            self.events.put(left) if left else self.events.clear()
+            self._keep(states, left, until)
+
+    def _known(self) -> list[tuple]:
+        return [(s[0], s[1], s[2]) for s in self.states.get()] if self.states.exists() else []
+
+    def _waiting(self) -> list[tuple]:
+        return [(e[0], e[1], e[2], e[3]) for e in self.events.get()] if self.events.exists() else []
+
+    def _keep(self, states: list[tuple], waiting: list[tuple], watermark: int) -> None:
+        """No event still to come is before the watermark."""
+        states = sorted(states)
+        needed = min([watermark * 1000, *(e[0] for e in waiting)])
+        first = max(sum(s[0] <= needed for s in states) - 1, 0)
+        if states:
+            self.states.put(states[first:])
+
+    def close(self) -> None:
+        pass
+
+
+def last_before(
+    events: DataFrame, states: DataFrame, key: str, time: str, due: Column, fields: list[str], columns: list[str], lateness: str
+) -> DataFrame:
+    """A stream of events (``key``, ``time``, tie, ``fields``), each with ``state``: the ``columns`` of its key's last row
+    (``key``, time, tie, ...) of the stream ``states`` at or before it; NULL if there is none.
+
+    An as-of join of two streams: nothing is read again, no event meets more than one state. An event comes out
+    once the watermark of both streams has passed ``due``; rows later than ``lateness`` no longer count. Events and
+    states travel as JSON. Start the result within :func:`keyed_store`.
+    """
+    payload = lambda names: F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("payload")
+    left = events.select(
+        F.col(key).alias("key"), F.col(time).alias("time"), F.lit(0).alias("side"), F.unix_micros(time).alias("at"), "tie",
+        F.unix_millis(due).alias("due"), payload(fields),
+    )
+    right = states.select(
+        F.col(key).alias("key"), "time", F.lit(1).alias("side"), F.unix_micros("time").alias("at"), "tie",
+        F.lit(None).cast("long").alias("due"), payload(columns),
+    )
+    told = (
+        left.unionByName(right)
+        .withWatermark("time", lateness)
+        .groupBy("key")
+        .transformWithState(LastBefore(), "key string, at long, tie long, payload string, state string", "append", "eventTime")
+    )
+    types = lambda df, names: ", ".join(f"{c} {t}" for c, t in df.select(*names).dtypes)
+    return told.select(
+        F.col("key").alias(key),
+        F.timestamp_micros("at").alias(time),
+        "tie",
+        F.from_json("payload", types(events, fields)).alias("p"),
+        F.from_json("state", types(states, columns)).alias("state"),
+    ).select(key, time, "tie", "p.*", "state")
+
+
 # --- snapshots per tick --------------------------------------------------------------------------
 
 

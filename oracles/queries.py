@@ -649,3 +649,15 @@ sql(
 )
 sql("r7_stream_rooms", "SELECT 'ops' AS room, 'wait:' || stand_id AS key, 'wait_intelligence' AS type, count(*) AS n FROM queue GROUP BY stand_id", "queue")
 _SQL["r11_order_stream"] = _SQL["r11_orders"]
+# An order comes out once the newest reading is more than the lateness past the end of its tick.
+OVER = f"{bucket(B, 'placed_at')} + INTERVAL '{B}' <= (SELECT date_trunc('milliseconds', max(time)) - INTERVAL '10 minutes' FROM crowd)"
+_SQL["r11_joined_orders"] = compose_with(
+    f"SELECT tie, placed_at, seat_id, stand_id, zone, queue_wait_minutes, walk_minutes, delivery_eta_minutes, delivery_eta_timestamp, total_price, status FROM placed WHERE {OVER}",
+    PLACED_NEEDS, *PLACED,
+)
+sql(
+    "r11_joined_rejections",
+    f"""SELECT tie, stand_id, reasons FROM (SELECT r.tie, r.stand_id, r.placed_at, CASE WHEN {FAULTS} <> '' THEN {FAULTS} WHEN NOT coalesce(f.is_open, true) THEN 'stand closed' ELSE '' END AS reasons
+        FROM requests r LEFT JOIN stands_dim d ON d.stand_id = r.stand_id ASOF LEFT JOIN forecast f ON f.stand_id = r.stand_id AND r.placed_at >= f.time) WHERE reasons <> '' AND {OVER}""",
+    "requests", "stands_dim", "forecast", "crowd",
+)
