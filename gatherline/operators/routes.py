@@ -1,16 +1,24 @@
-"""Cheapest walking routes through the venue, for many crowd snapshots at once.
+"""Cheapest walking routes through a venue, for many crowd snapshots at once.
 
-The corridor graph is small and fixed while snapshots are many, so a snapshot is
-one row holding the densities of all zones, and a search is a column: an array
-with one distance per zone, relaxed over the corridors once per round. There is no
-join and no shuffle in a search, and rows are independent of each other, so the
-work spreads over a cluster as evenly as the snapshots do.
+The corridor graph is fixed while snapshots are many, so a snapshot is one row holding
+the densities of all zones, and a search is a column: an array with one distance per
+zone. There is no join and no shuffle in a search, and rows are independent of each
+other, so the work spreads over a cluster as evenly as the snapshots do.
+
+Searches run on Arrow batches in numpy: the corridors are an array of edges, a round relaxes
+all edges of all rows of a batch at once, and rounds end when nothing changes. As expressions
+of the JVM the same rounds were interpreted corridor by corridor, at some hundred microseconds
+a search, and the plan grew with the venue.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +27,8 @@ from ..functions.numbers import round_half_up
 from ..sources import venue
 from .rollup import zone_means
 
-# One round of the search is written out corridor by corridor; a graph far beyond a
-# venue's would make the plan too large, and gets an error instead of a slow query.
-MAX_ZONES = 40
+# Numbers that a search looks at together: rows times edges.
+CELLS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -32,10 +39,6 @@ class Graph:
         default_factory=lambda: tuple(venue.CORRIDORS)
     )
 
-    def __post_init__(self):
-        if len(self.zones) > MAX_ZONES:
-            raise ValueError(f"more than {MAX_ZONES} zones")
-
     @property
     def zones(self) -> list[str]:
         """All zones by name: a zone's position doubles as its rank in ties."""
@@ -43,10 +46,76 @@ class Graph:
 
     def entering(self, zone: str) -> list[tuple[int, float]]:
         """(position, base seconds) of the neighbours of ``zone``."""
-        at = self.zones.index
-        ends = [(b, s) for a, b, s in self.corridors if a == zone]
-        ends += [(a, s) for a, b, s in self.corridors if b == zone]
-        return sorted((at(z), s) for z, s in ends)
+        at = self.zones.index(zone)
+        here = self.edges.inside == at
+        return list(zip(self.edges.outside[here].tolist(), self.edges.seconds[here].tolist(), strict=True))
+
+    @cached_property
+    def edges(self) -> Edges:
+        return Edges(self)
+
+
+class Edges:
+    """All ways between neighbours, in order of (inside, outside): positions of zones, and base seconds."""
+
+    def __init__(self, graph: Graph):
+        place = {z: i for i, z in enumerate(graph.zones)}
+        ways = sorted(w for a, b, s in graph.corridors for w in ((place[a], place[b], s), (place[b], place[a], s)))
+        self.zones = len(place)
+        self.inside = np.array([w[0] for w in ways])
+        self.outside = np.array([w[1] for w in ways])
+        self.seconds = np.array([w[2] for w in ways], float)
+        self.starts = np.flatnonzero(np.r_[True, self.inside[1:] != self.inside[:-1]])  # every zone has a way
+
+    def settled(self, start: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Distances that no way shortens, from those of ``start``. A row each; infinite where unreachable."""
+        distance = start
+        while True:
+            over = np.minimum.reduceat(distance[:, self.outside] + weights, self.starts, axis=1)
+            shorter = np.minimum(distance, over)
+            if np.array_equal(shorter, distance):
+                return distance
+            distance = shorter
+
+    def first_of(self, marked: np.ndarray, outside: np.ndarray) -> np.ndarray:
+        """Per row and zone the smallest (``outside`` value, zone outside) among its marked ways; -1 without any."""
+        value = np.where(marked, outside, np.inf)
+        least = np.minimum.reduceat(value, self.starts, axis=1)
+        chosen = marked & (value == least[:, self.inside])
+        place = np.minimum.reduceat(np.where(chosen, self.outside, self.zones), self.starts, axis=1)
+        return np.where(place < self.zones, place, -1)
+
+    def from_source(self, factors: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances from a zone (-1: none) to all zones, and the zone before each; entering a zone costs its factor."""
+        rows = np.arange(len(source))
+        here = np.zeros(factors.shape, bool)
+        here[rows[source >= 0], source[source >= 0]] = True
+        with np.errstate(invalid="ignore"):
+            inside = factors[:, self.inside]
+            weights = np.where(np.isinf(inside), np.inf, self.seconds * inside)
+        distance = self.settled(np.where(here & np.isfinite(factors), 0.0, np.inf), weights)
+        way = distance[:, self.outside] + weights
+        shortest = (way == distance[:, self.inside]) & np.isfinite(way)
+        before = self.first_of(shortest, distance[:, self.outside])
+        before[here] = -1
+        return np.where(here, 0.0, distance), before
+
+    def towards(self, factors: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray]:
+        """The zone after each zone on the way to ``target`` (-1: none), and whether another is as near."""
+        with np.errstate(invalid="ignore"):
+            outside = factors[:, self.outside]
+            weights = np.where(np.isinf(outside), np.inf, self.seconds * outside)
+        start = np.full(factors.shape, np.inf)
+        start[np.isfinite(factors[:, target]), target] = 0.0
+        distance = self.settled(start, weights)
+        way = distance[:, self.outside] + weights
+        after = self.first_of(np.isfinite(way), way)
+        after[np.isinf(factors)] = -1
+        after[:, target] = -1
+        near = np.isfinite(way) & (way <= distance[:, self.inside] * 1.000000001)
+        tied = np.add.reduceat(near.astype(np.int32), self.starts, axis=1) > 1
+        tied[:, target] = False
+        return after, tied
 
 
 VENUE = Graph()
@@ -93,23 +162,30 @@ def snapshot_densities(crowd: DataFrame, tick: str) -> DataFrame:
     return density_maps(zone_means(rows, ["snapshot"]), ["snapshot"])
 
 
-def _array(items) -> str:
-    return f"array({', '.join(items)})"
+def _factors(graph: Graph) -> Column:
+    """Factor per zone from the ``densities`` map; infinite where blocked."""
+    zones = F.array(*[F.lit(z) for z in graph.zones])
+
+    def factor(zone: Column) -> Column:
+        density = F.coalesce(F.col("densities")[zone], F.lit(0.0))
+        return F.when(is_blocked(density), F.lit(float("inf"))).otherwise(walk_factor(density))
+
+    return F.transform(zones, factor)
 
 
-def _settled(start: str, relax: str, zones: int) -> str:
-    """SQL that relaxes the distances ``a.d`` until they settle: zones - 1 rounds
-    always suffice, most searches settle in half of them and skip the rest."""
-    return f"""aggregate(
-        sequence(1, {zones - 1}),
-        struct({start} AS d, cast(NULL AS array<double>) AS before),
-        (a, round) -> CASE WHEN a.d = a.before THEN a ELSE struct({relax} AS d, a.d AS before) END).d"""
+def _lists(values: np.ndarray, known: np.ndarray, rows: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Rows of ``values`` as lists, NULL where not ``known``; a NULL list where ``rows`` is not set."""
+    offsets = pa.array(np.arange(0, values.size + 1, values.shape[1]), pa.int32())
+    flat = pa.array(values.ravel(), kind, mask=~known.ravel())
+    return pa.ListArray.from_arrays(offsets, flat, mask=pa.array(~rows))
 
 
-def _with_factors(df: DataFrame, graph: Graph) -> DataFrame:
-    """Add ``_factor`` per zone, NULL where blocked: NULLs drop out of least()."""
-    density = [F.coalesce(F.col("densities")[z], F.lit(0.0)) for z in graph.zones]
-    return df.withColumn("_factor", F.array(*[F.when(~is_blocked(d), walk_factor(d)) for d in density]))
+def _chunks(factors: pa.Array, edges: Edges) -> Iterator[tuple[slice, np.ndarray]]:
+    """(rows, their factors) in parts, so that what a search holds is bounded."""
+    values = factors.flatten().to_numpy(zero_copy_only=False).reshape(len(factors), edges.zones)
+    step = max(1, CELLS // len(edges.inside))
+    for start in range(0, len(values), step):
+        yield slice(start, start + step), values[start : start + step]
 
 
 def search(df: DataFrame, source: str = "from_zone", graph: Graph = VENUE, only: str = "true") -> DataFrame:
@@ -121,35 +197,23 @@ def search(df: DataFrame, source: str = "from_zone", graph: Graph = VENUE, only:
     with the smaller (cost, name) wins, at every step. Rows outside the condition
     ``only`` are not searched.
     """
-    zones = graph.zones
-    every = range(len(zones))
-
-    def over(distance: str, i: int) -> list[tuple[int, str]]:
-        """(neighbour, SQL of the distance over it) for all ways into zone i."""
-        return [(u, f"{distance}[{u}] + {s!r}D * _factor[{i}]") for u, s in graph.entering(zones[i])]
-
-    here = [f"{source} = '{z}'" for z in zones]
-    # A blocked source has no way out.
-    start = _array(f"CASE WHEN {here[i]} AND _factor[{i}] IS NOT NULL THEN 0D END" for i in every)
-    relax = _array(f"least(a.d[{i}], {', '.join(sql for _, sql in over('a.d', i))})" for i in every)
-    costs = _array(f"CASE WHEN {here[i]} THEN 0D ELSE _distance[{i}] END" for i in every)
-
-    def before(i: int) -> str:
-        ways = _array(
-            f"CASE WHEN {sql} = _distance[{i}] THEN struct(_distance[{u}], {u} AS u) END"
-            for u, sql in over("_distance", i)
-        )
-        return f"CASE WHEN NOT ({here[i]}) THEN array_min(array_compact({ways})).u END"
+    edges = graph.edges
+
+    @F.arrow_udf("struct<cost:array<double>,pred:array<int>>")
+    def searched(factors: pa.Array, place: pa.Array) -> pa.Array:
+        asked = place.is_valid().to_numpy(zero_copy_only=False)
+        sources = place.fill_null(-1).to_numpy(zero_copy_only=False)
+        cost, before = np.full((len(place), edges.zones), np.inf), np.full((len(place), edges.zones), -1)
+        wanted = np.flatnonzero(asked)
+        for part, given in _chunks(factors.take(pa.array(wanted)), edges):
+            cost[wanted[part]], before[wanted[part]] = edges.from_source(given, sources[wanted[part]])
+        lists = [_lists(cost, np.isfinite(cost), asked, pa.float64()), _lists(before, before >= 0, asked, pa.int32())]
+        return pa.StructArray.from_arrays(lists, ["cost", "pred"])
 
-    return (
-        _with_factors(df, graph)
-        .withColumn("_distance", F.expr(f"CASE WHEN {only} THEN {_settled(start, relax, len(zones))} END"))
-        .select(
-            *df.columns,
-            F.expr(f"CASE WHEN {only} THEN {costs} END").alias("_cost"),
-            F.expr(f"CASE WHEN {only} THEN {_array(before(i) for i in every)} END").alias("_pred"),
-        )
-    )
+    zones = F.array(*[F.lit(z) for z in graph.zones])
+    place = F.when(F.expr(only), F.coalesce(F.array_position(zones, F.col(source)), F.lit(0)).cast("int") - 1)
+    found = df.withColumn("_found", searched(_factors(graph), place))
+    return found.select(*df.columns, F.col("_found.cost").alias("_cost"), F.col("_found.pred").alias("_pred"))
 
 
 def search_towards(df: DataFrame, target: str, graph: Graph = VENUE) -> DataFrame:
@@ -160,33 +224,19 @@ def search_towards(df: DataFrame, target: str, graph: Graph = VENUE) -> DataFram
     rounding. Which of equally cheap paths counts is defined from the source (see
     :func:`search`), so tied ways have to be searched from there.
     """
-    zones = graph.zones
-    every = range(len(zones))
-
-    def over(distance: str, i: int) -> list[tuple[int, str]]:
-        return [(v, f"{distance}[{v}] + {s!r}D * _factor[{v}]") for v, s in graph.entering(zones[i])]
-
-    start = _array(f"CASE WHEN {z == target} AND _factor[{i}] IS NOT NULL THEN 0D END" for i, z in enumerate(zones))
-    relax = _array(f"least(a.d[{i}], {', '.join(sql for _, sql in over('a.d', i))})" for i in every)
-
-    def after(i: int) -> str:
-        ways = _array(f"struct({sql} AS c, {v} AS v)" for v, sql in over("_distance", i))
-        open_ways = f"filter({ways}, w -> w.c IS NOT NULL)"
-        return f"CASE WHEN {zones[i] != target} AND _factor[{i}] IS NOT NULL THEN array_min({open_ways}).v END"
-
-    def tied(i: int) -> str:
-        near = [f"CASE WHEN {sql} <= _distance[{i}] * 1.000000001D THEN 1 ELSE 0 END" for _, sql in over("_distance", i)]
-        return f"{zones[i] != target} AND {' + '.join(near)} > 1"
-
-    return (
-        _with_factors(df, graph)
-        .withColumn("_distance", F.expr(_settled(start, relax, len(zones))))
-        .select(
-            *df.columns,
-            F.expr(_array(after(i) for i in every)).alias("_next"),
-            F.expr(_array(tied(i) for i in every)).alias("_tied"),
-        )
-    )
+    edges, goal = graph.edges, graph.zones.index(target)
+
+    @F.arrow_udf("struct<next:array<int>,tied:array<boolean>>")
+    def aimed(factors: pa.Array) -> pa.Array:
+        every = np.ones(len(factors), bool)
+        after, tied = np.zeros((len(factors), edges.zones), int), np.zeros((len(factors), edges.zones), bool)
+        for part, given in _chunks(factors, edges):
+            after[part], tied[part] = edges.towards(given, goal)
+        lists = [_lists(after, after >= 0, every, pa.int32()), _lists(tied, np.ones(tied.shape, bool), every, pa.bool_())]
+        return pa.StructArray.from_arrays(lists, ["next", "tied"])
+
+    found = df.withColumn("_found", aimed(_factors(graph)))
+    return found.select(*df.columns, F.col("_found.next").alias("_next"), F.col("_found.tied").alias("_tied"))
 
 
 def paths_towards(df: DataFrame, source: str, target: str, graph: Graph = VENUE) -> DataFrame:

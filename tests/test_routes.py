@@ -124,9 +124,27 @@ def test_search_needs_no_shuffle(spark):
     assert "Exchange" not in plan and "Join" not in plan
 
 
-def test_graph_too_large():
-    with pytest.raises(ValueError):
-        routes.Graph(tuple((f"z{i}", f"z{i + 1}", 1.0) for i in range(60)))
+def test_large_graph(spark):
+    """A venue of 210 zones: a grid with tied ways, shortcuts, blocked zones and a long corridor at its side."""
+    rng = random.Random(4)
+    name = lambda r, c: f"{r:02}-{c:02}"
+    corridors = [(name(r, c), name(r, c + 1), 10.0) for r in range(14) for c in range(12)]
+    corridors += [(name(r, c), name(r + 1, c), 10.0) for r in range(13) for c in range(13)]
+    corridors += [(name(rng.randrange(14), rng.randrange(13)), name(rng.randrange(14), rng.randrange(13)), rng.choice([5.0, 35.5])) for _ in range(40)]
+    corridors = [c for c in corridors if c[0] != c[1]] + [(f"side-{i:02}", f"side-{i + 1:02}", 3.0) for i in range(27)] + [("00-00", "side-00", 1.0)]
+    graph = routes.Graph(tuple(corridors))
+    assert len(graph.zones) == 210
+    snapshots = {i: {z: rng.choice([0.0, 0.0, 0.5, 0.95]) for z in graph.zones} for i in range(3)}
+    df = spark.createDataFrame([(i, z, d) for i, s in snapshots.items() for z, d in s.items()], "snapshot int, zone string, density double")
+    given = routes.density_maps(df, ["snapshot"])
+    sources = rng.sample(graph.zones, 6) + ["side-27"]
+    asked = given.withColumn("from_zone", F.explode(F.array(*[F.lit(z) for z in sources])))
+    for r in routes.search(asked, "from_zone", graph).collect():
+        cost, before = heap_search(corridors, snapshots[r.snapshot], r.from_zone)
+        assert {z: c for z, c in zip(graph.zones, r._cost, strict=True) if c is not None} == cost
+        assert {z: graph.zones[p] for z, p in zip(graph.zones, r._pred, strict=True) if p is not None} == before
+    plan = routes.search(asked, "from_zone", graph)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 60_000
 
 
 def test_best_routes_use_last_reading_per_sensor(spark):
