@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import exact_mean
 from ..functions.times import at
-from .ordering import ROWS_PER_TASK, largest_group, numbered
+from ..session import checkpointed
 
 MINUTE = "1 minute"
 
@@ -90,41 +90,113 @@ def zone_means(readings: DataFrame, keys: list[str]) -> DataFrame:
 PERCENTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
 
-def latency_report(
-    df: DataFrame, latency: str, keys: list[str], rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
-    """p50, p95 and p99 with linear interpolation.
+#: A range with so few values is ranked as it is; larger ones are narrowed first.
+MOST_RANKED = 100_000
+#: Splitters of a range, and how exactly they are placed: off by a ten-thousandth of the values in it.
+SPLITTERS, ACCURACY = 500, 10_000
+
+
+def order_statistics(values: DataFrame, keys: list[str], ranks: DataFrame, most: int = MOST_RANKED) -> DataFrame:
+    """The values at given places of the order of each group: (keys, rank, v).
+
+    ``values``: keys and a double ``v``, not NULL. ``ranks``: keys and ``rank``, from 0; each below the group's size.
 
-    The exact percentile aggregate keeps all distinct values of a group in one
-    task. Beyond ``rows_per_task`` values are ranked by a global sort instead, and
-    only the two ranks next to each percentile are read.
+    Selection by narrowing, without a sort of the whole: a round places splitters in every range that
+    still holds more than ``most`` values, by a quantile sketch, and counts exactly what lies below and at
+    the two around a rank. Either one of them is the value, or the rank lies between them, or (if a
+    sketch was wrong) beyond. A range shrinks a hundred times per round; series of equal values
+    end it. Only what is left in small ranges is sorted, range by range. Counts and sketches are combined
+    before the shuffle, so hot groups are spread; nothing goes to the driver but the number of open ranges.
     """
-    known = df.where(F.col(latency).isNotNull()).select(*keys, F.col(latency).cast("double").alias("_v"))
-    if largest_group(known, keys) <= rows_per_task:
-        return known.groupBy(*keys).agg(
-            *[F.percentile("_v", F.lit(p)).alias(name) for name, p in PERCENTILES.items()]
+    if not keys:
+        whole = F.lit(0).alias("_all")
+        return order_statistics(values.select(whole, "v"), ["_all"], ranks.select(whole, "rank"), most).drop("_all")
+    names = [f"_k{i}" for i in range(len(keys))]
+    on_keys = [F.col(n).eqNullSafe(F.col(k)) for n, k in zip(names, keys, strict=True)]
+    bounds = ["_low", "_high"]
+    inside = (F.col("_low").isNull() | (F.col("v") > F.col("_low"))) & (F.col("_high").isNull() | (F.col("v") < F.col("_high")))
+
+    def within(ranges: DataFrame) -> DataFrame:
+        """The values that lie in open ranges (keys, _low, _high), with their range."""
+        renamed = ranges.withColumnsRenamed(dict(zip(keys, names, strict=True)))
+        return renamed.join(values, [*on_keys, inside], "inner").drop(*keys).withColumnsRenamed(dict(zip(names, keys, strict=True)))
+
+    def same_range(left: DataFrame, right: DataFrame) -> DataFrame:
+        other = {c: f"_r{c}" for c in [*keys, *bounds]}
+        renamed = right.withColumnsRenamed(other)
+        return left.join(renamed, [F.col(c).eqNullSafe(F.col(o)) for c, o in other.items()]).drop(*other.values())
+
+    sizes = values.groupBy(*keys).agg(F.count("*").alias("_inside"))
+    sized = sizes.withColumnsRenamed(dict(zip(keys, names, strict=True)))
+    asked = ranks.distinct().join(sized, on_keys).drop(*names)
+    none = F.lit(None).cast("double")
+    state = checkpointed(
+        asked.select(*keys, "rank", none.alias("_low"), none.alias("_high"), F.lit(0).cast("long").alias("_below"), "_inside", none.alias("v"))
+    )
+    open_ranges = F.col("v").isNull() & (F.col("_inside") > most)
+    while state.where(open_ranges).limit(1).count():
+        wide = state.where(open_ranges).drop("v")
+        splitters = within(wide.select(*keys, *bounds).distinct()).groupBy(*keys, *bounds).agg(
+            F.percentile_approx("v", [i / SPLITTERS for i in range(SPLITTERS + 1)], ACCURACY).alias("_s")
         )
-    ranked, _ = numbered(known, [*keys, "_v"])
-    groups = ranked.groupBy(*keys).agg(F.min("index").alias("_first"), F.count("*").alias("_n"))
-    wanted = groups.select(
-        *keys,
-        F.inline(F.array(*[F.struct(F.lit(n).alias("_name"), F.lit(p).alias("_p")) for n, p in PERCENTILES.items()])),
-        "_first",
-        "_n",
-    ).withColumn("_rank", F.col("_p") * (F.col("_n") - 1))
-    low = F.floor("_rank")
-    ends = wanted.select(
-        *keys,
-        "_name",
-        F.inline(
-            F.array(
-                F.struct((F.col("_first") + low).alias("index"), (1 - (F.col("_rank") - low)).alias("_share")),
-                F.struct((F.col("_first") + low + 1).alias("index"), (F.col("_rank") - low).alias("_share")),
-            )
-        ),
-    ).where("_share > 0")
-    return (
-        ends.join(ranked.select("index", "_v"), "index")
-        .groupBy(*keys)
-        .agg(*[F.sum(F.when(F.col("_name") == n, F.col("_v") * F.col("_share"))).alias(n) for n in PERCENTILES])
+        place = F.floor((F.col("rank") - F.col("_below")) / F.col("_inside") * SPLITTERS).cast("int")
+        aimed = same_range(wide, splitters).select(
+            *wide.columns,
+            F.get("_s", F.greatest(place - 1, F.lit(0))).alias("_from"),
+            F.get("_s", F.least(place + 2, F.lit(SPLITTERS))).alias("_to"),
+        )
+        counted = within(aimed).groupBy(*keys, "rank", *bounds, "_below", "_from", "_to").agg(
+            F.count("*").alias("_inside"),
+            *[F.count_if(test).alias(n) for n, test in (
+                ("_under", F.col("v") < F.col("_from")), ("_until", F.col("v") <= F.col("_from")),
+                ("_before", F.col("v") < F.col("_to")), ("_through", F.col("v") <= F.col("_to")),
+            )],
+        )
+        at = F.col("rank") - F.col("_below")
+        found = F.when((at >= F.col("_under")) & (at < F.col("_until")), F.col("_from")).when(
+            (at >= F.col("_before")) & (at < F.col("_through")), F.col("_to")
+        )
+        left, right = at < F.col("_under"), at >= F.col("_through")
+        narrowed = counted.select(
+            *keys,
+            "rank",
+            F.when(left, F.col("_low")).when(right, F.col("_to")).otherwise(F.col("_from")).alias("_low"),
+            F.when(left, F.col("_from")).when(right, F.col("_high")).otherwise(F.col("_to")).alias("_high"),
+            (F.col("_below") + F.when(left, F.lit(0)).when(right, F.col("_through")).otherwise(F.col("_until"))).alias("_below"),
+            F.when(left, F.col("_under"))
+            .when(right, F.col("_inside") - F.col("_through"))
+            .otherwise(F.col("_before") - F.col("_until"))
+            .alias("_inside"),
+            found.alias("v"),
+        )
+        state = checkpointed(state.where(~open_ranges).unionByName(narrowed))
+
+    rest = state.where("v IS NULL").drop("v")
+    order = Window.partitionBy(*keys, *bounds).orderBy("v")
+    ranked = within(rest.select(*keys, *bounds).distinct()).withColumn("_place", F.row_number().over(order) - 1)
+    picked = same_range(rest, ranked.withColumnRenamed("v", "_v")).where(F.col("_place") == F.col("rank") - F.col("_below"))
+    return state.where("v IS NOT NULL").select(*keys, "rank", "v").unionByName(picked.select(*keys, "rank", F.col("_v").alias("v")))
+
+
+def latency_report(df: DataFrame, latency: str, keys: list[str], most: int = MOST_RANKED) -> DataFrame:
+    """p50, p95 and p99 with linear interpolation between the two values next to each, exact at any size.
+
+    ``most``: values that are sorted together (see :func:`order_statistics`).
+    """
+    known = df.where(F.col(latency).isNotNull()).select(*keys, F.col(latency).cast("double").alias("v"))
+    listed = F.array(*[F.struct(F.lit(n).alias("_name"), F.lit(p).alias("_p")) for n, p in PERCENTILES.items()])
+    exact = F.col("_p") * (F.col("_n") - 1)
+    low = F.floor(exact)
+    wanted = (
+        known.groupBy(*keys).agg(F.count("*").alias("_n")).select(*keys, "_n", F.inline(listed))
+        .select(*keys, "_name", F.inline(F.array(
+            F.struct(low.alias("rank"), (1 - (exact - low)).alias("_share")),
+            F.struct((low + 1).alias("rank"), (exact - low).alias("_share")),
+        )))
+        .where("_share > 0")
+    )
+    found = order_statistics(known, keys, wanted.select(*keys, "rank"), most).withColumnsRenamed({k: f"_r{k}" for k in [*keys, "rank"]})
+    both = wanted.join(found, [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in [*keys, "rank"]])
+    return both.groupBy(*keys).agg(
+        *[F.sum(F.when(F.col("_name") == n, F.col("v") * F.col("_share"))).alias(n) for n in PERCENTILES]
     )

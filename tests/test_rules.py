@@ -340,8 +340,27 @@ def test_history_argument(spark):
 
 
 def test_latency_report(spark):
-    rows = [("a", float(i)) for i in range(101)] + [("b", 5.0), ("b", 6.0)] + [("c", 1.0)]
+    rows = [("a", float(i)) for i in range(101)] + [("b", 5.0), ("b", 6.0)] + [("c", 1.0)] + [(None, 2.0), (None, 4.0), ("c", None)]
     df = spark.createDataFrame(rows, "route string, ms double")
-    for limit in (1_000_000, 10):
-        got = {r.route: (r.p50, round(r.p95, 9), round(r.p99, 9)) for r in rollup.latency_report(df, "ms", ["route"], limit).collect()}
-        assert got == {"a": (50.0, 95.0, 99.0), "b": (5.5, 5.95, 5.99), "c": (1.0, 1.0, 1.0)}
+    for most in (1_000_000, 10):
+        got = {r.route: (r.p50, round(r.p95, 9), round(r.p99, 9)) for r in rollup.latency_report(df, "ms", ["route"], most).collect()}
+        assert got == {"a": (50.0, 95.0, 99.0), "b": (5.5, 5.95, 5.99), "c": (1.0, 1.0, 1.0), None: (3.0, 3.9, 3.98)}
+    assert rollup.latency_report(df.limit(0), "ms", ["route"]).collect() == []
+    assert rollup.latency_report(df.where("route = 'a'"), "ms", []).first().p50 == 50.0
+
+
+def test_places_of_a_hot_group_are_found_by_narrowing(spark):
+    """Two hundred thousand values with long series of equal ones, huge spreads and both signs: exact, and no whole sort."""
+    i = F.col("id")
+    value = (
+        F.when(i % 3 == 0, F.lit(7.0))
+        .when(i % 3 == 1, (F.xxhash64(i) % 1000) / 7.0)
+        .otherwise(F.exp((F.xxhash64(i, F.lit(1)) % 600).cast("double")) * F.when(i % 2 == 0, 1).otherwise(-1))
+    )
+    df = spark.range(200_000).select(F.when(i % 50 == 0, "cold").otherwise("hot").alias("k"), value.alias("v")).cache()
+    ranks = [0, 1, 500, 65_000, 66_000, 98_000, 130_000, 195_998, 195_999]
+    asked = spark.createDataFrame([("hot", r) for r in ranks] + [("cold", 17)], "k string, rank long")
+    found = {(r.k, r["rank"]): r.v for r in rollup.order_statistics(df, ["k"], asked, 300).collect()}
+    order = {k: sorted(r.v for r in df.where(F.col("k") == k).collect()) for k in ("hot", "cold")}
+    assert len(order["hot"]) == 196_000
+    assert found == {("hot", r): order["hot"][r] for r in ranks} | {("cold", 17): order["cold"][17]}
