@@ -15,9 +15,11 @@ packs its rows again. Sequences never cross tasks.
 
 from __future__ import annotations
 
+import json
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +31,33 @@ from .common import batches, mapped
 
 WINDOW, END = 2048, 1
 POOL_TOKENS = 1 << 21  # that wait in a task before windows are filled; half of them stay for choice
-MEMO_UNITS = 150_000  # of each of two generations
+MEMO_UNITS, MEMO_CHARS = 400_000, 64  # units of each of two generations, and the longest
+#: Characters beyond Latin; of the others one has a mark in lower case, and special tokens begin with one sign.
+OTHER, DOTTED, SPECIAL = re.compile("[^\\x00-\\u024f]"), "\u0130", "<|"
+PARTED = re.compile(r"[.,;:!?](?<=[^\W_].)[.,;:!?]*")  # marks after a letter or a number
+PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 SLICE_CHARS = 1 << 20  # longer texts are encoded in slices cut at spaces
 OUT_TOKENS = 1 << 19
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
+def _units(text: str) -> list[str]:
+    """Units of a text whose ids follow each other: what stands between spaces, line ends and tabs.
+
+    Ordinary Latin text is put in lower case, as the tokenizer does, and parted between a letter or a
+    number and marks, where it parts as well; its units repeat more often. Other text stays as it is.
+    """
+    text = text.replace("\n", " ").replace("\r", " ").replace("\t", " ")
+    if SPECIAL not in text and (text.isascii() or DOTTED not in text and not OTHER.search(text)):
+        text = PARTED.sub(r" \g<0>", text.lower())
+    return text.split(" ")
+
+
+def _parts(ids: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    whole = ids.tobytes()
+    return [whole[4 * a : 4 * b] for a, b in pairwise([0, *cuts.tolist()])]
+
+
 class Tokens:
     """Ids of texts by a vocabulary of the tokenizers library that never joins what a space parts.
 
@@ -48,48 +71,74 @@ class Tokens:
         self.tokenizer = Tokenizer.from_str(stored)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        model = json.loads(stored)
+        kinds = [n["type"] for n in (model["normalizer"] or {}).get("normalizers", [])]
+        if kinds != ["NFC", "Replace", "Lowercase"] or model["model"].get("end_of_word_suffix") != "</w>":
+            raise ValueError("only lower-case vocabularies with word ends are supported")
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
-
-    def _learn(self, units: set[str]) -> None:
-        """Puts the ids of units in the memo: many units are encoded as one text and told apart by their places."""
+        vocab = model["model"]["vocab"]
+        self.ends = np.zeros(max(vocab.values()) + 2, bool)  # ids that end a word
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+
+    def _encoded(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit: they are encoded as one text and told apart by their places."""
+        found = self.tokenizer.encode(" ".join(units), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
+        return _parts(ids, np.searchsorted(starts, np.cumsum([len(u) + 1 for u in units])))
+
+    def _encoded_words(self, words: list[str]) -> list[bytes]:
+        """The same for plain words, which end where an id ends a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        return _parts(ids, np.flatnonzero(self.ends[ids]) + 1)
+
+    def _age(self) -> None:
         if len(self.young) > MEMO_UNITS:
             self.old, self.young = self.young, {"": b""}
-        new = []
-        for u in units:
-            if u not in self.young:
-                if (known := self.old.get(u)) is None:
-                    new.append(u)
-                else:
-                    self.young[u] = known
-        waiting = iter(new)
-        while part := list(islice(waiting, 2000)):
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
-            ends = np.cumsum([len(u) + 1 for u in part])
-            cuts = [0, *np.searchsorted(starts, ends).tolist()]
-            whole = ids.tobytes()
-            self.young.update((u, whole[4 * a : 4 * b]) for u, a, b in zip(part, cuts, cuts[1:], strict=False))
-
-    def _slices(self, text: str) -> Iterator[str]:
-        start = 0
-        while len(text) - start > SLICE_CHARS:
-            if (stop := text.find(" ", start + SLICE_CHARS)) < 0:
-                break
-            yield text[start:stop]
+
+    def _learn(self, units: set[str]) -> dict[str, bytes]:
+        """Puts units in the memo; returns the ids of those that are too long for it."""
+        young, old = self.young, self.old
+        again = units & old.keys()
+        young.update((u, old[u]) for u in again)
+        new = units - again
+        plain = {u for u in new if PLAIN(u)}
+        for some, encoded in ((plain, self._encoded_words), (new - plain, self._encoded)):
+            waiting = iter(some)
+            while part := list(islice(waiting, 2000)):
+                young.update(zip(part, encoded(part), strict=True))
+        return {u: young.pop(u) for u in new if len(u) > MEMO_CHARS}
+
+    def _joined(self, cut: list[list[str]]) -> Iterator[bytes]:
+        """For each list of units their ids."""
+        missing = set().union(*cut).difference(self.young)
+        long = self._learn(missing) if missing else {}
+        known = self.young
+        find = known.__getitem__ if not long else lambda u: long.get(u) or known[u]
+        for units in cut:
+            yield b"".join(map(find, units))
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers."""
+        self._age()
+        cut = [_units(t or "") if len(t or "") <= SLICE_CHARS else [] for t in texts]
+        for text, units, ids in zip(texts, cut, self._joined(cut), strict=True):
+            yield ids if units else self._long(text)
+
+    def _long(self, text: str) -> bytes:
+        """Ids of a long text, in slices cut at spaces."""
+        start, out = 0, []
+        while start < len(text):
+            self._age()
+            stop = text.find(" ", start + SLICE_CHARS)
+            stop = stop if stop >= 0 else len(text)
+            out += self._joined([_units(text[start:stop])])
             start = stop + 1
-        yield text[start:] if start else text
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        out = []
-        for part in self._slices(text or ""):
-            units = part.split(" ")
-            self._learn(set(units))
-            known = self.young
-            out += [known[u] for u in units]
-        return b"".join(out)
+        return next(self.encode_all([text]))
 
 
 def best_fill(counts: list[tuple[int, int]], capacity: int) -> dict[int, int]:
@@ -227,8 +276,8 @@ def packed_pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = E
 
         def sequences() -> Iterator[list]:
             for doc_ids, texts in batches(rows):
-                for doc_id, text in zip(doc_ids, texts, strict=True):
-                    ids = np.frombuffer(tokens.encode(text) + last, "<u4")
+                for doc_id, known in zip(doc_ids, tokens.encode_all(texts), strict=True):
+                    ids = np.frombuffer(known + last, "<u4")
                     yield from waiting.put((doc_id, len(ids)), ids)
             yield from waiting.drained()
 

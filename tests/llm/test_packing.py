@@ -44,6 +44,17 @@ def test_ids_are_the_librarys(tokens, library):
         assert tokens.encode(text) == want, text[:80]
 
 
+def test_memo_ages_between_long_and_short_texts(tokens, library, monkeypatch):
+    """Texts of one batch, long ones among them, are encoded right while the memo is thrown out."""
+    from gatherline.llm import packing
+
+    monkeypatch.setattr(packing, "MEMO_UNITS", 50)
+    monkeypatch.setattr(packing, "SLICE_CHARS", 400)
+    texts = [" ".join(f"w{i}x{j}. {'y' * (j % 90)}" for j in range(n)) for i, n in enumerate((3, 200, 5, 400, 8))]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(tokens.encode_all(texts)) == want
+
+
 def sequences_of(rows):
     found = defaultdict(list)
     for r in rows:
