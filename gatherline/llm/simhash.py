@@ -2,11 +2,12 @@
 
 A fingerprint has 64 bits, one per bit that is set in over half of the hashes of a
 text's word shingles. Fingerprints that differ in at most ``bits`` bits share at least
-``8 - bits`` of their eight bytes, each in its place. The index has a posting for every
-choice of that many positions with the bytes found there, so that exactly the pairs that
-reach the guaranteed count meet; a posting of a single byte would hold 1/256 of all
-fingerprints. For pairs that meet, the shared positional bytes are tallied, and pairs
-that reach the count are verified by their differing bits.
+``8 - bits`` of their eight bytes, each in its place: the guaranteed matches. The index has a
+posting for every choice of one position fewer with the bytes found there (a posting of a
+single byte would hold 1/256 of all fingerprints), so that a qualifying pair meets in
+several postings, and others meet that fall short. Where a pair meets, its shared positional
+bytes are tallied; pairs below the guaranteed matches are dropped, and the rest is verified
+by the differing bits.
 
 Only distinct fingerprints enter the index. Postings are sorted, and a task compares
 blocks of fingerprints at once; a posting longer than a block goes on to tasks for pairs
@@ -73,8 +74,10 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def _choices(bits: int) -> list[tuple[int, ...]]:
-    """The position sets of postings: every ``8 - bits`` of the eight bytes."""
-    return list(combinations(range(8), 8 - bits))
+    """The position sets of postings: one position fewer than a qualifying pair shares, one at least."""
+    if bits > 7:
+        raise ValueError("pairs of more than 7 differing bits need not share a byte")
+    return list(combinations(range(8), max(1, 7 - bits)))
 
 
 def postings(fps: DataFrame, bits: int) -> DataFrame:
@@ -112,10 +115,14 @@ class Forest:
         return out
 
 
+def tally(differ: np.ndarray) -> np.ndarray:
+    """How many of the eight positional bytes are shared, from the differing bits."""
+    return (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+
+
 def near(differ: np.ndarray, bits: int) -> np.ndarray:
-    """Which differences have enough shared bytes in place and few enough differing bits."""
-    shared = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-    enough = shared >= 8 - bits
+    """Which differences reach the guaranteed matches, and of those which have few enough differing bits."""
+    enough = tally(differ) >= 8 - bits
     enough[enough] = np.bitwise_count(differ[enough]) <= bits
     return enough
 

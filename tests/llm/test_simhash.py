@@ -65,6 +65,39 @@ def test_chains_of_near_copies(spark, documents):
     assert 1 < len({c for _, _, c in want}) < len(want) - 50
 
 
+def test_count_filter_drops_pairs_that_meet(spark):
+    """All qualifying pairs meet in four postings at least; of the pairs that meet, those that share too little go unverified."""
+    draw = random.Random(12)
+    values = [draw.getrandbits(64) for _ in range(40)]
+    for v in values[:40]:
+        values.append(v ^ sum(1 << draw.randrange(64) for _ in range(draw.randint(0, 4))))
+        kept = draw.sample(range(8), draw.choice([3, 3, 4, 5]))  # shares some bytes, differs much in the others
+        values.append(sum((v >> 8 * p & 255 if p in kept else draw.randrange(256)) << 8 * p for p in range(8)))
+    values = sorted(set(values))
+    signed = np.array(values, np.uint64).view(np.int64).tolist()
+    rows = S.postings(spark.createDataFrame([(v,) for v in signed], "fp bigint"), 4).collect()
+    assert len(rows) == 56 * len(values)
+    lists, meet = {}, {}
+    for r in rows:
+        lists.setdefault((r.choice, r.shared), []).append(r.fp % 2**64)
+    for fps in lists.values():
+        for i, a in enumerate(sorted(fps)):
+            for b in sorted(fps)[i + 1 :]:
+                meet[a, b] = meet.get((a, b), 0) + 1
+    pairs = [(a, b) for i, a in enumerate(values) for b in values[i + 1 :]]
+    close = {p for p in pairs if (p[0] ^ p[1]).bit_count() <= 4}
+    assert all(meet.get(p, 0) >= 4 for p in close)
+    differ = np.array([a ^ b for a, b in meet], np.uint64)
+    shared = dict(zip(meet, S.tally(differ).tolist(), strict=True))
+    dropped = [p for p in meet if shared[p] < 4]
+    assert len(dropped) >= 20 and all(meet[p] == 1 for p in dropped)
+    assert {p for p, yes in zip(meet, S.near(differ, 4), strict=True) if yes} == close
+    unverified = [p for p in meet if shared[p] >= 4 and p not in close]
+    assert unverified  # enough bytes shared, too many bits differ
+    with pytest.raises(ValueError):
+        S.postings(spark.createDataFrame([(1,)], "fp bigint"), 8)
+
+
 @pytest.mark.parametrize("block", [2, 7, 4096])
 def test_long_postings(spark, block):
     draw = random.Random(9)
