@@ -6,7 +6,8 @@ a probabilistic automaton (two states are compatible if their frequencies of end
 of each next class, and those of their successors, differ by less than Hoeffding's bound).
 An automaton of ordinary long words is learned the same way. Every candidate, a long run
 of credential characters, is scored by the likelihood of its format under the automata;
-those far likelier as a credential than as a word are secrets, too.
+those far likelier as a credential than as a word are secrets, too, whether or not a base
+pattern matches a part of them.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, mapped, sliced
+from .common import batches, mapped, sliced, written
 
 #: The base patterns, in the order in which kinds are listed, and their least lengths.
 ASSIGN = re.compile(
@@ -61,6 +62,19 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(found)
 
 
+def covered(spans: list[tuple[int, int]], wanted: list[tuple[int, int]], whole: bool) -> list[bool]:
+    """For each of the (start, end) of ``wanted``, which follow each other: whether one of ``spans`` (sorted by start)
+    meets it, or holds it as a whole. One sweep over both."""
+    out, i, ends = [], 0, -1
+    for start, end in wanted:
+        # The farthest end of the spans that start in time: at the start at the latest, or before the end.
+        while i < len(spans) and (spans[i][0] <= start if whole else spans[i][0] < end):
+            ends = max(ends, spans[i][1])
+            i += 1
+        out.append(ends >= end if whole else ends > start)
+    return out
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     """kind:start:end of (start, kind, end), by start and then kind."""
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
@@ -202,9 +216,11 @@ def learn(docs: DataFrame, per_kind: int = PER_KIND) -> Formats:
                 spans = base_spans(text)
                 for _, kind, end, secret in spans:
                     seen[kind].setdefault(text[secret:end], b"")
-                for m in CANDIDATE.finditer(text):
-                    if not any(s < m.end() and m.start() < e for s, _, e, _ in spans):
-                        seen[3].setdefault(m.group(), b"")
+                candidates = [m.span() for m in CANDIDATE.finditer(text)]
+                met = covered([(s, e) for s, _, e, _ in spans], candidates, whole=False)
+                for (start, end), known in zip(candidates, met, strict=True):
+                    if not known:
+                        seen[3].setdefault(text[start:end], b"")
             for kind, found in enumerate(seen):
                 if len(found) > 4 * per_kind:
                     seen[kind] = dict.fromkeys(sorted(found, key=_rank)[:per_kind], b"")
@@ -215,7 +231,8 @@ def learn(docs: DataFrame, per_kind: int = PER_KIND) -> Formats:
         )
 
     texts = docs.select(F.lit(0).alias("doc_id"), "text")
-    found = mapped(texts, run, "kind int, value string, rank string").distinct()
+    # Written, so that the texts are searched once for all kinds; a task gives four bounded samples.
+    found = written(mapped(texts, run, "kind int, value string, rank string"), "credentials").distinct()
     taken = [found.where(F.col("kind") == k).orderBy("rank", "value").limit(per_kind) for k in range(len(KINDS))]
     sample = taken[0].union(taken[1]).union(taken[2]).union(taken[3]).toArrow()
     values: list[list[str]] = [[] for _ in KINDS]
@@ -249,11 +266,11 @@ class Scanner:
         if not text:
             return [], []
         base = [(s, k, e) for s, k, e, _ in base_spans(text)]
-        more = []
-        for m in CANDIDATE.finditer(text):
-            if self._secret(m.group()) and not any(s < m.end() and m.start() < e for s, _, e in base):
-                more.append((m.start(), 3, m.end()))
-        return base, base + more
+        candidates = [m.span() for m in CANDIDATE.finditer(text)]
+        known = covered([(s, e) for s, _, e in base], candidates, whole=True)
+        secret = [self._secret(text[s:e]) for s, e in candidates]
+        # What a base span holds as a whole is told already.
+        return base, base + [(s, 3, e) for (s, e), told, yes in zip(candidates, known, secret, strict=True) if yes and not told]
 
 
 def scan(docs: DataFrame, formats: Formats | None = None, margin: float = MARGIN) -> DataFrame:

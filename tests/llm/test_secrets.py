@@ -53,6 +53,64 @@ def test_learned_formats_find_unlabelled_credentials(spark, corpus):
     assert [a.states for a in again.credentials] == [a.states for a in formats.credentials]
 
 
+def test_every_candidate_is_scored():
+    """A credential of which a base pattern matches the middle is masked as a whole; one inside a base span is told once."""
+    draw = random.Random(1)
+    some = lambda classes, n: "".join(draw.choice(classes) for _ in range(n))
+    tokens = ["lll_" + some("dh", 20) + some("Lld", 10) for _ in range(300)]
+    formats = S.Formats([S.Automaton(tokens)], S.Automaton(["l" * (16 + i % 9) for i in range(300)]))
+    scanner = S.Scanner(formats, margin=0.0)
+    text = "see ghp_0123456789abcdef0123Zq9XyTtUvW, token = 0123Zq9XyTtUvW0123Zq, justanordinarylongword"
+    base, spans = scanner.spans(text)
+    assert base == expected(text) and [k for _, k, _ in base] == [2, 0]
+    assert spans == base + [(4, 3, 38)]
+    assert S.masked(text, spans) == "see [SECRET], [SECRET], justanordinarylongword"
+    asked = []
+    scanner._secret = lambda c: asked.append(c) or False
+    scanner.spans(text)
+    assert asked == [m.group() for m in S.CANDIDATE.finditer(text)] and len(asked) == 3
+
+
+def test_sweep_is_as_all_pairs():
+    draw = random.Random(8)
+    for _ in range(2000):
+        spans = sorted((a, a + draw.randint(1, 9)) for a in (draw.randrange(60) for _ in range(draw.randrange(8))))
+        cuts = sorted(draw.sample(range(70), 2 * draw.randint(1, 5)))
+        wanted = list(zip(cuts[::2], cuts[1::2], strict=True))
+        assert S.covered(spans, wanted, False) == [any(s < e and b < f for s, f in spans) for b, e in wanted]
+        assert S.covered(spans, wanted, True) == [any(s <= b and e <= f for s, f in spans) for b, e in wanted]
+
+
+def test_likelihood_is_that_of_the_paths():
+    """Against multiplying the share of each class and of ending, state by state; merged states pool their counts."""
+    import math
+
+    formats = ["dd", "dd", "dh", "l", "ll", "lll"] * 30
+    tree = S.Automaton(formats, alpha=2.0)  # a bound of zero: nothing is merged but what is equal
+    seen = lambda p: sum(f.startswith(p) for f in formats)
+    for f in ("dd", "dh", "l", "lll"):
+        chance = 1.0
+        for i in range(len(f)):
+            chance *= seen(f[: i + 1]) / seen(f[:i]) * (1 - S.UNSEEN * len(S.ALPHABET)) + S.UNSEEN
+        chance *= formats.count(f) / seen(f)
+        assert math.isclose(tree.log_likelihood(f), math.log(chance), rel_tol=1e-9)
+    made = S.Automaton(formats)
+    assert sum(s.n for s in made.states) == sum(len(f) + 1 for f in formats) and len(made.states) < len(tree.states)
+
+
+def test_large_text_of_hex(spark):
+    """A text of 4 MB full of base spans takes a linear time."""
+    import time
+
+    text = " ".join(f"{i:016x}" for i in range(240_000))
+    scanner = S.Scanner(S.Formats([], None))
+    started = time.process_time()
+    base, spans = scanner.spans(text)
+    assert len(base) == len(spans) == 240_000 and time.process_time() - started < 20
+    docs = spark.createDataFrame([(1, text), (2, "x")], "doc_id bigint, text string")
+    assert S.scan(docs).where("doc_id = 1").first().n_hex == 240_000
+
+
 def test_automata_generalise_and_sum_to_one():
     made = S.Automaton(["dd" + "h" * (i % 5) for i in range(400)])
     assert len(made.states) < 12
