@@ -3,9 +3,11 @@
 Pages become WARC records, written by Spark's text writer with the blank line between
 records as separator, one gzip file (an archive) per task and record limit. Of equal
 payloads one record holds the payload and the others refer to it. Reading an archive
-gives a capture run: index rows sorted by URL key and time. The runs are cut by ranges of
-that order, and each range's pieces of runs are merged by a loser tree, so that the whole
-index is in global order, partition by partition.
+gives a capture run: index rows sorted by URL key and time, and written. The merge is external:
+ranges of the order are sized by the number of rows, so that a task takes a bounded block of
+every run, whatever the index holds. Spark's sort, which spills, lines a task's blocks up run
+by run; they stay Arrow batches, of which the loser tree turns a few rows per run into
+Python values at a time. The whole index is in global order, partition by partition.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +26,8 @@ from .common import written
 
 LEAST_BYTES = 1000  # shorter payloads are stored again
 RECORDS_PER_FILE = 20_000  # a file is read by one task
+RANGE_ROWS = 200_000  # index rows that one task merges, about
+HEAD_ROWS = 64  # of a run, that are Python values at a time
 FIRST_DATE = 1_577_836_800  # default captures: a second apart, by page_id, from 2020-01-01
 SEPARATOR = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -154,7 +158,7 @@ def capture_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _order(row: tuple) -> tuple:
-    return row[5], row[6], -1 if row[0] is None else row[0], row[7], row[8]
+    return row[5], row[6], row[0] is not None, row[0] or 0, row[7], row[8]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -162,11 +166,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES, strict=True)], names=NAMES)
 
 
-def merged(runs: list[list[tuple]]) -> Iterator[tuple]:
+def merged(runs: list[Iterable[tuple]]) -> Iterator[tuple]:
     """The rows of sorted runs in one order, by a loser tree.
 
     Leaves are the runs' next rows; an inner node keeps the loser of its match, and the winner
     of all is on top. After a winner leaves, its run's next row plays the losers on its path.
+    Of each run only the next row is held.
     """
     k = len(runs)
     if not k:
@@ -205,21 +210,42 @@ def merged(runs: list[list[tuple]]) -> Iterator[tuple]:
             node //= 2
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
+class Block:
+    """A task's part of a run: Arrow batches in order, read as rows a few at a time."""
+
+    def __init__(self):
+        self.batches: list[pa.RecordBatch] = []
+
+    def __iter__(self) -> Iterator[tuple]:
+        for batch in self.batches:
+            for start in range(0, batch.num_rows, HEAD_ROWS):
+                part = batch.slice(start, HEAD_ROWS)
+                yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
+
+
+def blocks_of(rows: Iterator[pa.RecordBatch]) -> list[Block]:
+    """The blocks of rows that come run by run (by archive), in the order of each."""
+    blocks: dict[str, Block] = {}
+    for batch in rows:
+        names = batch.column(7).to_pylist()
+        start = 0
+        for stop in range(1, len(names) + 1):
+            if stop == len(names) or names[stop] != names[start]:
+                blocks.setdefault(names[start], Block()).batches.append(batch.slice(start, stop - start))
+                start = stop
+    return list(blocks.values())
+
+
+def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Index rows in global order by (url_key, captured, page_id): partitions in order, rows in order.
 
-    ``runs`` come as written tables. Each task holds the pieces of runs of its range.
+    ``runs`` come as written tables. A task merges the blocks of the runs in its range, about ``range_rows``
+    rows; no two rows are equal in the order, so that any range can be cut.
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: dict[str, list[tuple]] = {}
-        for batch in rows:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                pieces.setdefault(row[7], []).append(row)
-        for piece in pieces.values():
-            piece.sort(key=lambda r: r[9])  # back in the order of its run
         out = []
-        for row in merged([pieces[name] for name in sorted(pieces)]):
+        for row in merged(blocks_of(rows)):
             out.append(row)
             if len(out) == 5000:
                 yield _batch(out)
@@ -227,8 +253,9 @@ def merge_runs(runs: DataFrame) -> DataFrame:
         yield _batch(out)
 
     order = ["url_key", "captured", F.asc_nulls_first("page_id"), "archive", "offset"]
-    n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return runs.repartitionByRange(n, *order).mapInArrow(run, INDEX).drop("seq")
+    n = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // range_rows))
+    ranges = runs.repartitionByRange(n, *order).sortWithinPartitions("archive", "seq")
+    return ranges.mapInArrow(run, INDEX).drop("seq")
 
 
 def archive_pages(pages: DataFrame, path: str | None = None, least_bytes: int = LEAST_BYTES) -> DataFrame:

@@ -20,7 +20,7 @@ def expected(rows, least=1000):
 
 
 def order(r):
-    return r.url_key, r.captured, -1 if r.page_id is None else r.page_id
+    return r.url_key, r.captured, r.page_id is not None, r.page_id or 0
 
 
 def test_pages_of_every_kind(spark):
@@ -66,6 +66,26 @@ def test_loser_tree():
         assert list(A.merged(runs)) == sorted((r for run in runs for r in run), key=A._order)
 
 
+def test_merge_of_many_runs_in_small_ranges(spark):
+    """Runs over many ranges, with equal keys, negative and missing ids: one global order, and blocks are read bit by bit."""
+    draw = random.Random(5)
+    rows = []
+    for r in range(7):
+        run = [
+            (draw.choice([None, -5, -1, 0, 3]), 0, "d", "response", None, draw.choice(["a)/", "b)/", "é)/", ""]), draw.choice("xyz"), f"r{r}", i)
+            for i in range(draw.choice([0, 1, 150, 400]))
+        ]
+        rows += [(*row, seq) for seq, row in enumerate(sorted(run, key=A._order))]
+    draw.shuffle(rows)
+    runs = spark.createDataFrame(rows, A.INDEX).repartition(6)
+    found = [tuple(r) for r in A.merge_runs(runs, range_rows=20).collect()]
+    assert found == [r[:-1] for r in sorted(rows, key=A._order)]
+    batch = A._batch(sorted((r for r in rows if r[7] in ("r0", "r1", "r2", "r3")), key=lambda r: (r[7], r[9])))
+    blocks = A.blocks_of(iter([batch.slice(0, 100), batch.slice(100)]))
+    pulled = iter(A.merged(blocks))
+    assert [next(pulled) for _ in range(50)] == sorted((r for r in rows if r[7] in ("r0", "r1", "r2", "r3")), key=A._order)[:50]
+
+
 def test_url_keys():
     assert A.url_key("https://www.Example.com:443/A?b=1#c") == "com,example)/A?b=1"
     assert A.url_key("http://u:p@a.b.org:8080") == "org,b,a:8080)/"
