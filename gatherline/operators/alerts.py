@@ -168,9 +168,13 @@ def with_stand_zone(alerts: DataFrame) -> DataFrame:
     return alerts.join(F.broadcast(places), F.upper(F.col("stand_id")) == F.col("_stand"), "left").drop("_stand")
 
 
-def _complete(schema, optional: tuple[str, ...] = ()) -> Column:
-    parsed = F.from_json("value", schema)
-    needed = [parsed[f].isNotNull() for f in schema.fieldNames() if f not in optional]
+def _complete(payload: Column, schema, optional: tuple[str, ...] = ()) -> Column:
+    """Whether a payload has every field of ``schema``, in its type."""
+    needed = [
+        F.try_variant_get(payload, f"$.{f.name}", f.dataType.simpleString()).isNotNull()
+        for f in schema.fields
+        if f.name not in optional
+    ]
     return reduce(lambda a, b: a & b, needed)
 
 
@@ -179,17 +183,21 @@ def route_messages(messages: DataFrame) -> DataFrame:
 
     Input: topic, key, value. Adds ``room``, ``type``, ``routed_at`` (the message's
     own values where it has them) and ``valid``: whether the message has all fields
-    its receivers declare. The full payload is passed on either way. Stateless, so
-    it serves streams as well.
+    its receivers declare. The full payload is passed on either way, also where it is no
+    JSON at all. It is parsed once, whatever its type. Stateless, so it serves streams as well.
     """
+    payload = F.col("_payload")
+
     def field(name: str) -> Column:
         # Empty text counts as absent.
-        found = F.get_json_object("value", f"$.{name}")
+        found = F.try_variant_get(payload, f"$.{name}", "string")
         return F.when(found != "", found)
 
     is_alert = F.col("topic") == venue.ALERTS_TOPIC
     rows = with_stand_zone(
-        messages.withColumns({"seat_id": field("seat_id"), "zone": field("zone"), "stand_id": field("stand_id")})
+        messages.withColumn("_payload", F.try_parse_json("value")).withColumns(
+            {"seat_id": field("seat_id"), "zone": field("zone"), "stand_id": field("stand_id")}
+        )
     )
     flow_zone = after_prefix(F.col("key"), "flow:")
     is_wait = F.col("key").startswith("wait:")
@@ -207,15 +215,19 @@ def route_messages(messages: DataFrame) -> DataFrame:
         .otherwise("intelligence")
     )
     valid = (
-        F.when(is_alert, _complete(ALERT_ENVELOPE, ("seat_id", "zone", "stand_id")))
-        .when(flow_zone.isNotNull(), _complete(FLOW_ENVELOPE))
-        .when(is_wait, _complete(WAIT_ENVELOPE))
+        F.when(is_alert, _complete(payload, ALERT_ENVELOPE, ("seat_id", "zone", "stand_id")))
+        .when(flow_zone.isNotNull(), _complete(payload, FLOW_ENVELOPE))
+        .when(is_wait, _complete(payload, WAIT_ENVELOPE))
         .otherwise(F.lit(False))
     )
-    return rows.select(
-        *messages.columns,
-        F.explode(F.array_compact(F.array(special, F.lit("ops")))).alias("room"),
-        F.coalesce(F.get_json_object("value", "$._type"), kind).alias("type"),
-        F.coalesce(F.get_json_object("value", "$._routed_at"), iso_time(F.current_timestamp())).alias("routed_at"),
-        F.coalesce(valid, F.lit(False)).alias("valid"),
+    told = rows.withColumns(
+        {
+            "_rooms": F.array_compact(F.array(special, F.lit("ops"))),
+            "type": F.coalesce(F.try_variant_get(payload, "$._type", "string"), kind),
+            "routed_at": F.coalesce(
+                F.try_variant_get(payload, "$._routed_at", "string"), iso_time(F.current_timestamp())
+            ),
+            "valid": F.coalesce(valid, F.lit(False)),
+        }
     )
+    return told.select(*messages.columns, F.explode("_rooms").alias("room"), "type", "routed_at", "valid")

@@ -3,7 +3,7 @@ order history."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.crowd import order_eta_minutes, plus_minutes, seat_zone
@@ -225,3 +225,15 @@ def order_history(orders: DataFrame, seat_id: str, limit: int = 20, status: str
     if status is not None:
         rows = rows.where(F.col("status") == status)
     return rows.orderBy(F.desc("placed_at"), "order_id").limit(limit)
+
+
+def order_histories(orders: DataFrame, limit: int = 20, status: str | None = None) -> DataFrame:
+    """The newest orders of every seat, with ``place_in_history`` from 1.
+
+    Rows beyond the limit go before the shuffle already, as ranks are limited on both sides of it.
+    """
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must be 1 to 100")
+    rows = orders if status is None else orders.where(F.col("status") == status)
+    newest = Window.partitionBy("seat_id").orderBy(F.desc("placed_at"), "order_id")
+    return rows.withColumn("place_in_history", F.row_number().over(newest)).where(F.col("place_in_history") <= limit)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -278,6 +278,80 @@ def s14_publish_orders(d):
     )
 
 
+def _read(sent: DataFrame, fields: str) -> DataFrame:
+    """Messages with the fields of their payloads, each parsed once. ``fields``: names and types."""
+    payload = F.try_parse_json("value")
+    types = [f.split() for f in fields.split(", ")]
+    rows = sent.select("topic", "key", payload.alias("p"))
+    return rows.select("topic", "key", *[F.try_variant_get("p", f"$.{name}", kind).alias(name) for name, kind in types])
+
+
+@query
+def s14_flow_payloads(d):
+    """Every field of every published flow forecast."""
+    sent = messages.predictions_as_messages(flow.forecast_history(d.crowd).drop("smoothed", "time"), None)
+    rows = _read(
+        sent,
+        "run bigint, zone string, current_density double, predicted_density double, congestion_risk string, "
+        "recommended_route string, avoid_zones array<string>",
+    )
+    return rows.withColumn("avoid_zones", _joined("avoid_zones"))
+
+
+@query
+def s14_wait_payloads(d):
+    """Every field of every published wait forecast."""
+    rows = wait.wait_forecasts(d.queues).withColumn("generated_at", text.iso_time(F.col("time"))).drop("time")
+    return _read(
+        messages.predictions_as_messages(None, rows),
+        "tie bigint, stand_id string, stand_name string, queue_length int, current_wait_min double, predicted_wait_5min double, "
+        "predicted_wait_10min double, arrival_rate_lambda double, utilization_rho double, service_rate_mu double, "
+        "server_count int, halftime_spike_expected boolean, recommendation string, generated_at string",
+    )
+
+
+def _with_items(orders_: DataFrame) -> DataFrame:
+    """A row per item of each order, with the order's own fields."""
+    rest = [c for c in orders_.columns if c != "items"]
+    each = orders_.select(*rest, F.posexplode("items").alias("place", "item"))
+    return each.select(*rest, "place", *[F.col(f"item.{c}").alias(f"item_{c}") for c in ("name", "quantity", "price")])
+
+
+_ORDER_COLUMNS = [
+    "order_id", "seat_id", "stand_id", "stand_name", "zone", "status", "queue_wait_minutes", "walk_minutes",
+    "delivery_eta_minutes", "delivery_eta_timestamp", "placed_at", "total_price", "special_instructions", "updated_at",
+]
+
+
+@query
+def s10_stored_orders(d):
+    """Placed orders as they are stored: all fifteen columns, a row per item."""
+    accepted, _ = placed(d)
+    return _with_items(_written(d, accepted, "fan_orders", "placed_at").select(*_ORDER_COLUMNS, "items"))
+
+
+@query
+def s14_order_payloads(d):
+    """Every field of every published order, a row per item."""
+    accepted, _ = placed(d)
+    stamped = accepted.withColumns({c: text.iso_time(F.col(c)) for c in ("placed_at", "delivery_eta_timestamp", "updated_at")})
+    rows = _read(
+        messages.orders_as_messages(stamped),
+        "tie bigint, order_id string, seat_id string, stand_id string, stand_name string, zone string, status string, "
+        "queue_wait_minutes double, walk_minutes double, delivery_eta_minutes double, delivery_eta_timestamp string, "
+        "placed_at string, total_price double, updated_at string, items array<struct<name:string,quantity:int,price:double>>",
+    )
+    return _with_items(rows)
+
+
+@query
+def t5_order_history(d):
+    """The newest orders of every seat, all columns, with their items."""
+    accepted, _ = placed(d)
+    kept = orders.order_histories(accepted, 20)
+    return _with_items(kept.select("place_in_history", *_ORDER_COLUMNS, "items"))
+
+
 @query
 def s15_publish_readings(d):
     sent = messages.readings_as_messages(d.crowd, venue.CROWD_TOPIC).unionByName(
@@ -795,6 +869,15 @@ def u2_alerts_in_order(d):
     )
 
 
+@query
+def u2_alert_list(d):
+    """All sensor alerts in the order in which they are shown."""
+    rows = alerts.sensor_alerts(d.queues, d.crowd, d.cctv)
+    day = F.to_date("time")
+    shown = Window.partitionBy(day).orderBy("source_order", "tie", "message")
+    return rows.select(day.alias("day"), F.row_number().over(shown).alias("place"), "source_order", "category", "zone", "stand_id", "message")
+
+
 @query
 def u3_display_order(d):
     zones = latest.zone_state(d.crowd).withColumn("anomaly_active", F.lit(False)).where("zone NOT IN ('Concourse-B', 'VIP-Lounge')")
@@ -967,6 +1050,29 @@ def r9_alert_emission(d):
     return both.groupBy("category", "zone", "stand_id").agg(F.count("*").alias("n"))
 
 
+@query
+def r9_alerts(d):
+    """The alerts of every critical run and every spike, with their texts."""
+    both = alerts.union([
+        alerts.critical_crowd_alerts(flow.forecast_history(d.crowd)),
+        alerts.spike_alerts(wait.wait_forecasts(d.queues)),
+    ])
+    return both.select("time", "severity", "category", "zone", "stand_id", "message")
+
+
+@query
+def r8_routed_forecasts(d):
+    """Where every wait forecast goes, with the payload its receivers see."""
+    rows = wait.wait_forecasts(d.queues).select(
+        "tie", "stand_id", "stand_name", "predicted_wait_5min", "predicted_wait_10min",
+        "halftime_spike_expected", "recommendation", text.iso_time(F.col("time")).alias("generated_at"),
+    )
+    told = alerts.route_messages(messages.predictions_as_messages(None, rows))
+    seen = told.select("room", "type", "valid", "key", F.try_parse_json("value").alias("p"))
+    fields = [("tie", "bigint"), ("predicted_wait_5min", "double"), ("halftime_spike_expected", "boolean"), ("recommendation", "string"), ("generated_at", "string")]
+    return seen.select("room", "type", "valid", "key", *[F.try_variant_get("p", f"$.{n}", t).alias(n) for n, t in fields])
+
+
 @query
 def r11_orders(d):
     accepted, _ = placed(d)

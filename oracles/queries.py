@@ -452,6 +452,32 @@ sql(
     "run_zones", "queue",
 )
 
+sql(
+    "s14_wait_payloads",
+    f"""SELECT 'vf_intelligence_out' AS topic, 'wait:' || stand_id AS key, tie, stand_id, stand_name, queue_length, w0 AS current_wait_min, w5 AS predicted_wait_5min,
+        w10 AS predicted_wait_10min, lam3 AS arrival_rate_lambda, rho3 AS utilization_rho, mu AS service_rate_mu, c AS server_count,
+        spike AS halftime_spike_expected, recommendation, {iso('time')} AS generated_at FROM advice""",
+    "advice",
+)
+sql(
+    "r8_routed_forecasts",
+    f"""SELECT 'ops' AS room, 'wait_intelligence' AS type, true AS valid, 'wait:' || stand_id AS key, tie, w5 AS predicted_wait_5min,
+        spike AS halftime_spike_expected, recommendation, {iso('time')} AS generated_at FROM advice""",
+    "advice",
+)
+sql(
+    "r9_alerts",
+    f"""SELECT time, severity, category, zone, CAST(NULL AS VARCHAR) AS stand_id, message FROM ({CRITICAL})
+        UNION ALL SELECT time, 'warning', 'queue', NULL, stand_id, recommendation FROM advice WHERE spike""",
+    "run_zones", "run_times", "advice",
+)
+sql(
+    "u2_alert_list",
+    """SELECT CAST(time AS DATE) AS day, row_number() OVER (PARTITION BY CAST(time AS DATE) ORDER BY source_order, tie, message) AS place,
+        source_order, category, zone, stand_id, message FROM sensor_alerts""",
+    "sensor_alerts",
+)
+
 # --- scalar functions
 sql("f1_erlang_c", f"SELECT tie, {rnd(erlang('lam', 'mu', 'c'), 9)} AS p_wait FROM rates", "rates")
 sql(
@@ -526,6 +552,9 @@ FLOW = f"""SELECT z.run, t.time, z.zone, {rnd('z.d', 4)} AS current_density, {rn
         LEFT JOIN rpaths p ON p.sid = z.run AND p.src = z.zone"""
 FLOW_NEEDS = ["run_zones", "run_times", "smoothed", "avoid", "edges"]
 _SQL["g4_flow_forecasts"] = compose_with(FLOW, FLOW_NEEDS, *RUN_ROUTES)
+_SQL["s14_flow_payloads"] = compose_with(
+    f"SELECT 'vf_intelligence_out' AS topic, 'flow:' || zone AS key, * EXCLUDE (time) FROM ({FLOW})", FLOW_NEEDS, *RUN_ROUTES
+)
 _SQL["g4_flow_answer"] = compose_with(f"SELECT * EXCLUDE (run, time) FROM ({FLOW}) WHERE run = (SELECT max(run) FROM run_zones)", FLOW_NEEDS, *RUN_ROUTES)
 _SQL["s8_append_flow_predictions"] = compose_with(f"SELECT time, run, zone, predicted_density, recommended_route, congestion_risk, avoid_zones FROM ({FLOW})", FLOW_NEEDS, *RUN_ROUTES)
 sql("g5_hops_of_readings", f"SELECT zone, count(*) AS readings, CASE WHEN zone LIKE 'Parking-%' THEN 1 ELSE {HOPS} END AS hops FROM crowd GROUP BY zone", "crowd")
@@ -553,6 +582,20 @@ PLACED = [
 ]
 _SQL["s10_append_orders"] = compose_with("SELECT tie, order_id, seat_id, stand_id, stand_name, zone, status, total_price, placed_at, CAST(placed_at AS DATE) AS date, true AS has_items FROM placed", PLACED_NEEDS, *PLACED)
 _SQL["s14_publish_orders"] = compose_with("SELECT 'vf_orders' AS topic, 'order:' || seat_id AS key, tie, total_price, status FROM placed", PLACED_NEEDS, *PLACED)
+ORDER_COLUMNS = """order_id, seat_id, stand_id, stand_name, zone, status, queue_wait_minutes, walk_minutes, delivery_eta_minutes, delivery_eta_timestamp,
+    placed_at, total_price, CAST(NULL AS VARCHAR) AS special_instructions, placed_at AS updated_at"""
+ITEM = "0 AS place, 'Item' AS item_name, quantity AS item_quantity, price AS item_price"
+_SQL["s10_stored_orders"] = compose_with(f"SELECT {ORDER_COLUMNS}, {ITEM} FROM placed", PLACED_NEEDS, *PLACED)
+_SQL["s14_order_payloads"] = compose_with(
+    f"""SELECT 'vf_orders' AS topic, 'order:' || seat_id AS key, tie, order_id, seat_id, stand_id, stand_name, zone, status, queue_wait_minutes, walk_minutes,
+        delivery_eta_minutes, {iso('delivery_eta_timestamp')} AS delivery_eta_timestamp, {iso('placed_at')} AS placed_at, total_price, {iso('placed_at')} AS updated_at, {ITEM} FROM placed""",
+    PLACED_NEEDS, *PLACED,
+)
+_SQL["t5_order_history"] = compose_with(
+    f"""SELECT * FROM (SELECT row_number() OVER (PARTITION BY seat_id ORDER BY placed_at DESC, order_id) AS place_in_history, {ORDER_COLUMNS}, {ITEM}
+        FROM placed) WHERE place_in_history <= 20""",
+    PLACED_NEEDS, *PLACED,
+)
 _SQL["g7_walks"] = compose_with("SELECT tie, seat_id, stand_id, zone, walk_minutes FROM placed", PLACED_NEEDS, *PLACED)
 _SQL["r11_orders"] = compose_with("SELECT tie, placed_at, seat_id, stand_id, zone, queue_wait_minutes, walk_minutes, delivery_eta_minutes, delivery_eta_timestamp, total_price, status FROM placed", PLACED_NEEDS, *PLACED)
 sql(

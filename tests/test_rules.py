@@ -320,6 +320,34 @@ def test_resolution(spark):
     assert sorted(r.outcome for r in outcomes.collect()) == ["invalid_id", "not_found", "resolved"]
 
 
+def test_messages_are_parsed_once_and_passed_on(spark):
+    """Payloads of every kind, of the wrong types and of no JSON: rooms by what can be read, the text as it came."""
+    full = '{"stand_id":"C4","stand_name":"x","predicted_wait_5min":1.5,"predicted_wait_10min":2,"halftime_spike_expected":false,"recommendation":"r","generated_at":"t"}'
+    rows = [
+        ("vf_intelligence_out", "wait:C4", full),
+        ("vf_intelligence_out", "wait:C4", full.replace("1.5", '"many"')),
+        ("vf_intelligence_out", "flow:Gate-East", "{oops"),
+        ("vf_alerts", "k", '{"seat_id":"","zone":"Gate-East","severity":"warning","category":"c","message":"m","timestamp":"t","_type":"own","_routed_at":"then"}'),
+        ("vf_alerts", "k", '{"stand_id":"c4","extra":{"a":[1,2]}}'),
+        ("vf_alerts", "k", "[1]"),
+        ("vf_alerts", "k", None),
+    ]
+    sent = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n int, topic string, key string, value string")
+    told = alerts.route_messages(sent)
+    got = {(r.n, r.room): (r.type, r.valid, r.value) for r in told.collect()}
+    zone = "zone:" + next(s[2] for s in venue.STANDS if s[0] == "C4")
+    assert {k: v[:2] for k, v in got.items()} == {
+        (0, "ops"): ("wait_intelligence", True), (1, "ops"): ("wait_intelligence", False),
+        (2, "zone:Gate-East"): ("flow_intelligence", False), (2, "ops"): ("flow_intelligence", False),
+        (3, "zone:Gate-East"): ("own", True), (3, "ops"): ("own", True),
+        (4, zone): ("alert", False), (4, "ops"): ("alert", False), (5, "ops"): ("alert", False), (6, "ops"): ("alert", False),
+    }
+    assert all(v[2] == rows[n][2] for (n, _), v in got.items())
+    assert {r.routed_at for r in told.where("n = 3").collect()} == {"then"}
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson") + plan.count("parse_json") == 1 and "from_json" not in plan and "get_json_object" not in plan
+
+
 def test_repeated_resolutions(spark):
     """Of requests for one alert the first of the order resolves it; alerts are never doubled."""
     ids = [f"00000000-0000-0000-0000-00000000000{i}" for i in range(2)]
