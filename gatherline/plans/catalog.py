@@ -20,6 +20,7 @@ from ..streaming import buckets as bucket_streams
 from ..streaming import keyed as keyed_streams
 from ..streaming import orders as order_streams
 from ..streaming import readings as reading_streams
+from ..streaming import refresh as refresh_streams
 from ..streaming import routing as routing_streams
 from . import answers, twin
 
@@ -1288,6 +1289,35 @@ def r5_stream_queue_buckets(d):
     return d.spark.read.parquet(path)
 
 
+def _refreshed(d: Data, read, buckets) -> refresh_streams.RefreshedBuckets:
+    """One-minute buckets of readings that are received up to twenty minutes after they were taken, in two batches by receipt."""
+    delay = F.make_dt_interval(mins=(F.col("tie") % 21).cast("int"))
+    rows = read(d.table("events")).withColumn("received", F.col("time") + delay)
+    path, middle = scratch_path(d.spark, "received"), at(datetime(2024, 1, 16, 0, 0, 30))
+    job = refresh_streams.RefreshedBuckets(d.spark, scratch_path(d.spark, "refreshed"), buckets)
+    for half in (F.col("received") < middle, F.col("received") >= middle):
+        rows.where(half).write.mode("append").parquet(path)
+        job.start(d.spark.readStream.schema(rows.schema).parquet(path), {"availableNow": True}).awaitTermination()
+    return job
+
+
+@query
+def r5_refreshed_minutes(d):
+    """One-minute crowd buckets as the refresh policy leaves them: without the newest minute, and without late readings."""
+    return _refreshed(d, adapters.crowd, rollup.crowd_buckets).table()
+
+
+@query
+def r5_refreshed_queue_minutes(d):
+    return _refreshed(d, adapters.queues, rollup.queue_buckets).table()
+
+
+@query
+def r6_too_late_to_refresh(d):
+    """Readings that came after the last refresh of their bucket."""
+    return _refreshed(d, adapters.queues, rollup.queue_buckets).late().select("tie", "time", "received", "stand_id")
+
+
 @query
 def r6_late_readings(d):
     """The second half of the history first, then the first half, and inside a batch the newest

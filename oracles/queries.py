@@ -684,6 +684,22 @@ sql(
 # A bucket is closed once the newest reading is more than the lateness past its end.
 sql("r5_stream_buckets", f"SELECT * FROM ({CROWD_BUCKETS}) WHERE bucket + INTERVAL '{B}' <= (SELECT date_trunc('milliseconds', max(time)) - INTERVAL '10 minutes' FROM crowd)", "crowd")
 sql("r5_stream_queue_buckets", f"SELECT * FROM ({QUEUE_BUCKETS}) WHERE bucket + INTERVAL '{B}' <= (SELECT date_trunc('milliseconds', max(time)) - INTERVAL '10 minutes' FROM queue)", "queue")
+# Refreshes at whole minutes reach from ten minutes to one minute before them.
+RECEIVED = "time + to_minutes(CAST(tie % 21 AS INTEGER))"
+TIMELY = f"{RECEIVED} <= {bucket('1 minute')} + INTERVAL '10 minutes'"
+
+
+def refreshed(kind: str, buckets: str) -> str:
+    last = f"(SELECT date_trunc('minute', max({RECEIVED})) FROM {kind})"
+    rows_ = f"(SELECT * FROM {kind} WHERE {TIMELY} AND {RECEIVED} <= {last})"
+    return compose(
+        f"SELECT * FROM ({buckets.replace(bucket(B), bucket('1 minute')).replace(f'FROM {kind}', f'FROM {rows_}')}) WHERE bucket + INTERVAL '2 minutes' <= {last}", kind
+    )
+
+
+_SQL["r5_refreshed_minutes"] = refreshed("crowd", CROWD_BUCKETS)
+_SQL["r5_refreshed_queue_minutes"] = refreshed("queue", QUEUE_BUCKETS)
+sql("r6_too_late_to_refresh", f"SELECT tie, time, {RECEIVED} AS received, stand_id FROM queue WHERE NOT ({TIMELY})", "queue")
 sql(
     "r6_late_readings",
     """SELECT stand_id, last_updated, queue_length, kept FROM (SELECT stand_id, time AS last_updated, queue_length, row_number() OVER (PARTITION BY stand_id ORDER BY time, tie % 1000) AS rn
