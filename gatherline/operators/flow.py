@@ -83,8 +83,9 @@ def flow_forecasts(
     block: int | None = None,
     graph: Graph = VENUE,
     target: str = MAIN_SEATING,
+    only_last: bool = False,
 ) -> DataFrame:
-    """One forecast per run and zone.
+    """One forecast per run and zone; ``only_last``: of the last run.
 
     ``readings``: index, time, zone, density (:func:`ordering.numbered` adds the
     index). ``start`` holds ``smoothed`` per zone from earlier runs.
@@ -93,6 +94,8 @@ def flow_forecasts(
     block = block or BLOCK
     members = run_members(readings.select("index", "time", "zone", "density"), last_index, first_run, every, kept, block)
     smoothed = smooth(run_zone_means(members), "zone", "run", "density", last_index // every, alpha, block, start)
+    if only_last:
+        smoothed = smoothed.where(F.col("run") == last_index // every)
     return describe_runs(smoothed, ["_block", "run"], graph, target).drop("_block")
 
 

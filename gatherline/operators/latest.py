@@ -26,6 +26,12 @@ def latest_per_key(
     return df.groupBy(*keys).agg(last).select(*keys, "s.*")
 
 
+def last_rows(df: DataFrame, keys: list[str], n: int, order: list[str] | None = None) -> DataFrame:
+    """The last ``n`` rows of every key. Ranks are limited before the shuffle, so a hot key costs ``n`` rows per task."""
+    newest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order or EVENT_TIME])
+    return df.withColumn("_place", F.row_number().over(newest)).where(F.col("_place") <= n).drop("_place")
+
+
 def zone_state(crowd: DataFrame, order: list[str] | None = None) -> DataFrame:
     """One row per zone: its last reading and the band of that reading."""
     state = latest_per_key(crowd, ["zone"], ["time", *ZONE_STATE_COLUMNS[:-1]], order)

@@ -27,9 +27,11 @@ from ..session import checkpointed
 ROWS_PER_TASK = 4_000_000
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
+def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """(rows of the largest group, all rows)."""
     counts = df.groupBy(*keys).count() if keys else df.groupBy().count()
-    return counts.agg(F.max("count")).first()[0] or 0
+    found = counts.agg(F.max("count").alias("largest"), F.sum("count").alias("all")).first()
+    return found["largest"] or 0, found["all"] or 0
 
 
 def _pieces(df: DataFrame, rows_per_task: int, rows: int) -> int:
@@ -64,7 +66,7 @@ def previous_values(
 
     Both are structs with one field ``v``, NULL where there is no such row.
     """
-    largest = largest_group(df, keys)
+    largest, rows = group_sizes(df, keys)
     wrapped = F.struct(F.col(value).alias("v"))
     if largest <= rows_per_task:
         w = Window.partitionBy(*keys).orderBy(*order)
@@ -73,7 +75,7 @@ def previous_values(
         )
 
     w = Window.partitionBy("_piece", *keys).orderBy(*order, "_copy")
-    pieces = _ranged(df, keys, order, _pieces(df, rows_per_task, largest))
+    pieces = _ranged(df, keys, order, _pieces(df, rows_per_task, rows))
     inside = checkpointed(
         pieces.withColumns(
             {
@@ -117,13 +119,13 @@ def carried_forward(
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add ``name``: the last non-NULL ``value`` at or before each row of its key."""
-    largest = largest_group(df, keys)
+    largest, rows = group_sizes(df, keys)
     if largest <= rows_per_task:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
     inside_key = Window.partitionBy("_piece", *keys).orderBy(*order, "_copy")
-    pieces = _ranged(df, keys, order, _pieces(df, rows_per_task, largest))
+    pieces = _ranged(df, keys, order, _pieces(df, rows_per_task, rows))
     inside = checkpointed(
         pieces.withColumns(
             {
@@ -148,12 +150,13 @@ def carried_forward(
 def numbered(df: DataFrame, order: list[str], start: int = 0) -> tuple[DataFrame, int]:
     """Add ``index`` (start+1, start+2, …) in global order; also return the last index.
 
-    One range shuffle. Positions inside a piece come from the sorted partition,
-    offsets from one count per piece, so no task sees more than its piece.
+    One range shuffle into pieces by the number of rows. Positions inside a piece come from the
+    sorted partition, offsets from one count per piece, so no task sees more than its piece.
     """
+    rows = df.count()
     placed = checkpointed(
         df.withColumn("_copy", F.monotonically_increasing_id())
-        .repartitionByRange(*order, "_copy")
+        .repartitionByRange(_pieces(df, ROWS_PER_TASK, rows), *order, "_copy")
         .sortWithinPartitions(*order, "_copy")
         .drop("_copy")
         .withColumns(
@@ -167,10 +170,9 @@ def numbered(df: DataFrame, order: list[str], start: int = 0) -> tuple[DataFrame
     before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     # One row per piece: as many rows as shuffle partitions, in the window and the broadcast.
     offsets = sizes.select("_piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
-    last = start + placed.count()
-    rows = (
+    numbered_rows = (
         placed.join(F.broadcast(offsets), "_piece")
         .withColumn("index", F.col("_offset") + F.col("_position") + F.lit(start + 1))
         .drop("_piece", "_position", "_offset")
     )
-    return rows, last
+    return numbered_rows, start + rows

@@ -23,6 +23,10 @@ FORECAST_COLUMNS = [
 ]
 
 
+#: Readings of a stand that its last forecast is made of.
+NEEDED_READINGS = 3
+
+
 def arrival_rates(
     queues: DataFrame,
     window: int = 5,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import at
-from ..operators import alerts, egress, flow, heatmap, latest, rollup, routes, wait
+from ..operators import alerts, egress, flow, heatmap, latest, rollup, routes
 from . import twin
 
 WAIT_ANSWER = [
@@ -24,10 +24,8 @@ def wait_answer(queues: DataFrame, **options) -> DataFrame:
 
 
 def flow_answer(crowd: DataFrame, **options) -> DataFrame:
-    """Forecast of every zone from the last run."""
-    rows = flow.forecast_history(crowd, **options)
-    last = rows.agg(F.max("run").alias("run"))
-    return rows.join(F.broadcast(last), "run", "left_semi").drop("run", "time", "smoothed")
+    """Forecast of every zone from the last run; routes are searched for that run only."""
+    return flow.forecast_history(crowd, only_last=True, **options).drop("run", "time", "smoothed")
 
 
 def best_routes(requests: DataFrame, crowd: DataFrame, as_of: datetime) -> DataFrame:
@@ -52,10 +50,7 @@ def live_alerts(crowd: DataFrame, queues: DataFrame, cctv: DataFrame, **options)
             cctv, ["camera_id"], ["time", "tie", "zone", "anomaly_detected", "anomaly_type"]
         ),
     )
-    rows = wait.wait_forecasts(queues, **options)
-    last = latest.latest_per_key(
-        rows, ["stand_id"], ["time", "tie", "halftime_spike_expected", "recommendation"]
-    )
+    last = twin.latest_forecasts(queues, ["time", "tie", "halftime_spike_expected", "recommendation"], **options)
     return alerts.live_alerts(sensor, alerts.spike_alerts(last, "intelligence"))
 
 

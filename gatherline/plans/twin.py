@@ -14,8 +14,9 @@ STAND_FORECAST = ["predicted_wait_5min", "predicted_wait_10min", "halftime_spike
 
 
 def latest_forecasts(queues: DataFrame, columns: list[str] | None = None, **options) -> DataFrame:
-    """The last forecast of every stand."""
-    rows = wait.wait_forecasts(queues, **options)
+    """The last forecast of every stand, from its last readings only."""
+    recent = latest.last_rows(queues, ["stand_id"], wait.NEEDED_READINGS)
+    rows = wait.wait_forecasts(recent, **options)
     wanted = columns or [c for c in rows.columns if c not in ("stand_id", "time", "tie")]
     return latest.latest_per_key(rows, ["stand_id"], wanted)
 
