@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 BASE, MIX = 0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD
 GRAM, WINDOW = 20, 32
 PIECE = 1 << 20  # k-grams hashed at once
+PIECE_BYTES = 64 << 20  # of texts that a task takes, about
 LOW = (1 << 24) - 1  # a hash has 40 bits; the rest hold its place in a piece
 
 SCHEMA = (
@@ -170,7 +171,8 @@ def compare_with_next(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -
     NULL ids come last; repeated rows are repeated and follow each other; other columns are
     ignored; an empty table gives an empty one.
     """
-    pieces = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text").cast("bigint")).alias("n")).first()["n"] or 0
+    pieces = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PIECE_BYTES))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []

@@ -67,6 +67,17 @@ def test_heavier_documents_are_taken_more_often(spark):
     assert share[0] > 1.1 * share[1]
 
 
+def test_slices_of_light_documents(spark):
+    """Documents of the least weight spread over the slices as those of full weight do."""
+    from pyspark.sql import functions as F
+
+    for text in ("0123 4567", "plain words"):
+        docs = spark.range(20_000).selectExpr("id AS doc_id", f"'{text}' AS text", "'a' AS source")
+        place = F.floor(F.col("key") / (1 + F.col("key")) * 64)
+        most = M.keyed(docs).groupBy(place.alias("p")).count().agg(F.max("count")).first()[0]
+        assert most < 7 * 20_000 / 64
+
+
 def test_odd_documents(odd):
     docs = odd.withColumnsRenamed({"score": "m_all", "fp": "m_key", "piece": "slice"})
     assert len(check(docs, 0)) == docs.count()
