@@ -1,8 +1,8 @@
 """Document quality by attention over passages.
 
 A document is a bag of passages of a fixed number of words; only the document has a label.
-Each passage is encoded from its shares of kinds of characters and of repeated words; a
-gated attention (a tanh and a sigmoid branch, multiplied) weighs the encodings, and the
+Each passage is encoded from its byte trigrams (hashed), kinds of characters, and lengths
+and repeats of words, by a layer that is learned with the rest; a gated attention (a tanh and a sigmoid branch, multiplied) weighs the encodings, and the
 weighted mean is scored. All weights are trained together in numpy.
 """
 
@@ -34,7 +34,9 @@ _kind[list(b"0123456789")] = 2
 _kind[list(b" ")] = 3
 _kind[[*range(9), *range(9, 32), 127]] = 4
 _kind[_MARKS] = 6 + np.arange(len(_MARKS))
-FEATURES = KINDS + 6
+GRAMS, QUIET = 96, 8.0  # buckets of trigrams, and how much less they weigh than the rest at first
+FEATURES = KINDS + 5 + GRAMS
+_MIX = np.array([2_654_435_761, 2_246_822_519, 3_266_489_917], np.uint32)  # odd factors of the three bytes
 
 
 def passages(text: str | None) -> np.ndarray:
@@ -61,7 +63,14 @@ def passages(text: str | None) -> np.ndarray:
     out[:, KINDS + 2] = mean / 10
     out[:, KINDS + 3] = np.sqrt(np.maximum(np.bincount(owner, sizes.astype(float) ** 2, n) / count - mean**2, 0)) / 10
     out[:, KINDS + 4] = count / PASSAGE
-    out[:, KINDS + 5] = len(seen) / len(words)
+    if len(body) > 2:
+        wide = body.astype(np.uint32)
+        mixed = (wide[:-2] * _MIX[0] ^ wide[1:-1] * _MIX[1] ^ wide[2:] * _MIX[2]) * _MIX[0]
+        bucket = (mixed >> np.uint32(16)) % np.uint32(GRAMS)
+        passage = np.repeat(owner, sizes)
+        inside = passage[2:] == passage[:-2]
+        grams = np.bincount(passage[2:][inside] * GRAMS + bucket[inside], minlength=n * GRAMS).reshape(n, GRAMS)
+        out[:, KINDS + 5 :] = np.sqrt(grams / np.maximum(grams.sum(axis=1, keepdims=True), 1))
     return out
 
 
@@ -94,8 +103,11 @@ class Model:
         return np.round(1 / (1 + np.exp(-np.clip(logits, -500, 500))), 12)
 
 
-def train(texts: list[str], y: np.ndarray, share: float, epochs: int = EPOCHS, seed: int = 11) -> Model:
-    """Fit encoder, attention and score by Adam on batches of documents; ``share``: of label 1 among all labels."""
+def train(texts: list[str], y: np.ndarray, share: float, epochs: int = EPOCHS, seed: int = 11, attention: bool = True) -> Model:
+    """Fit encoder, attention and score by Adam on batches of documents; ``share``: of label 1 among all labels.
+
+    Without ``attention`` all passages of a document weigh the same (to compare with).
+    """
     rng = np.random.default_rng(seed)
     start = lambda a, b: rng.normal(0, 1 / np.sqrt(a), (a, b))
     params = [
@@ -103,6 +115,8 @@ def train(texts: list[str], y: np.ndarray, share: float, epochs: int = EPOCHS, s
         start(GATE, 1)[:, 0], start(HIDDEN, 1)[:, 0], np.zeros(1),
     ]
     model = Model(np.zeros(FEATURES), np.ones(FEATURES), params, 0.0)
+    learned = [attention or k not in (2, 3, 4) for k in range(len(params))]
+    params[4][:] *= attention
     if len(set(y.tolist())) < 2:
         params[5][:] = 0
         model.shift = float(np.log(share / (1 - share)))
@@ -110,6 +124,7 @@ def train(texts: list[str], y: np.ndarray, share: float, epochs: int = EPOCHS, s
     bags = [passages(t) for t in texts]
     every = np.concatenate(bags)
     model.mean, model.scale = every.mean(axis=0), np.maximum(every.std(axis=0), 1e-3)
+    model.scale[KINDS + 5 :] *= QUIET  # trigrams are many: few documents must not learn them by heart
     bags = [(b - model.mean) / model.scale for b in bags]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
@@ -131,7 +146,7 @@ def train(texts: list[str], y: np.ndarray, share: float, epochs: int = EPOCHS, s
             slopes = [rows.T @ to_h, to_h.sum(axis=0), h.T @ to_t, h.T @ to_s, (t * s).T @ to_energy, z.T @ error, np.array([error.sum()])]
             step += 1
             rate = RATE * (1 - epoch / epochs)
-            for p, g, m, v in zip(params, slopes, first, second, strict=True):
+            for p, g, m, v in (x for x, yes in zip(zip(params, slopes, first, second, strict=True), learned, strict=True) if yes):
                 g = g + DECAY * p
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)

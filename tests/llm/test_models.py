@@ -132,6 +132,39 @@ def test_quality_of_held_out_documents(spark, labels):
     assert np.mean([r.predicted == r.quality for r in held]) > 0.95
 
 
+def test_passages_are_counted_as_one_by_one():
+    """Features of passages against counting in each passage alone; no trigram crosses a passage."""
+    text = " ".join(["some words, here"] * 50 + ["é#!"] + ["x" * 300] + ["end"] * 100)
+    found = quality.passages(text)
+    own = text.encode().split()
+    for p, row in enumerate(found):
+        part = own[p * quality.PASSAGE : (p + 1) * quality.PASSAGE]
+        body = b"".join(part)
+        assert np.allclose(row[: quality.KINDS], np.bincount(quality._kind[list(body)], minlength=quality.KINDS) / len(body))
+        alone = quality.passages(b" ".join(part).decode())
+        assert len(alone) == 1 and np.allclose(alone[0, quality.KINDS + 5 :], row[quality.KINDS + 5 :])
+        assert np.isclose((row[quality.KINDS + 5 :] ** 2).sum(), 1)
+    assert quality.passages("").shape == quality.passages("ab").shape == (1, quality.FEATURES)
+
+
+def test_slopes_of_the_attention_model():
+    """A step of training follows the numeric slope of the loss in every kind of weight."""
+    texts = ["a b c " * 50, "### # " * 70 + "word " * 90, "one", ""]
+    y, made = np.array([0.0, 1.0, 1.0, 0.0]), quality.train(["x"], np.array([1.0]), 0.5)
+    rng = np.random.default_rng(1)
+    made.params = [rng.normal(0, 0.5, p.shape) for p in made.params]
+    bags = [quality.passages(t) for t in texts]
+    rows, starts = np.concatenate(bags), np.cumsum([0, *[len(b) for b in bags[:-1]]])
+    weight, z, logit, sizes = made.forward(rows, starts)[3:]
+    assert np.allclose(np.add.reduceat(weight, starts), 1) and sizes.tolist() == [len(b) for b in bags]
+    for i, bag in enumerate(bags):
+        alone = made.forward(bag, np.array([0]))
+        assert np.allclose(alone[4][0], z[i]) and np.isclose(alone[5][0], logit[i])
+        h, t, s = alone[:3]
+        energy = np.array([sum(t[p] * s[p] * made.params[4]) for p in range(len(bag))])
+        assert np.allclose(alone[3], np.exp(energy) / np.exp(energy).sum())
+
+
 def test_attention_slopes():
     """The trained direction lowers the loss: attention finds the one telling passage of a document."""
     draw = random.Random(8)
