@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches, mapped, release_memory
+from .common import batches, kept, mapped, release_memory
 
 MEMO_UNITS = 300_000
 VECTOR_BYTES = 96  # longer words take their steps one by one
@@ -318,15 +318,11 @@ class Automaton:
         return b"".join([labels[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-_ready: list[tuple[str, Automaton]] = []
-
-
-def _spelled(name: str, shared) -> Automaton:
-    """The automaton with its byte tables, made once per Python worker."""
-    if not _ready or _ready[0][0] != name:
-        _ready[:] = [(name, shared.value)]
-        _ready[0][1].spell()
-    return _ready[0][1]
+def _spelled(shared) -> Automaton:
+    """The automaton with its byte tables."""
+    automaton = shared.value
+    automaton.spell()
+    return automaton
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -344,7 +340,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     release_memory()
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _spelled(name, shared)
+        automaton = kept(name, lambda: _spelled(shared))
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for doc_ids, texts in batches(rows):
             ids = automaton.encode_all(texts)
@@ -357,4 +353,4 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 }
             )
 
-    return mapped(docs.select("doc_id", "text"), run, SCHEMA)
+    return mapped(docs.select("doc_id", "text"), run, SCHEMA, keeps=name)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
+T = TypeVar("T")
 #: Words are runs of anything but the six ASCII white-space characters.
 SPACES = " \t\n\x0b\x0c\r"
 #: Bytes of an Arrow batch between Spark and Python, where the session doesn't set its own.
@@ -84,17 +86,40 @@ def release_memory() -> None:
         trim(0)
 
 
-def mapped(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+#: What a Python worker keeps from task to task: one thing, by name.
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], T]) -> T:
+    """What ``make`` gives, made once in a Python worker as long as its tasks ask for this name."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def keep_only(name: str | None) -> None:
+    """Drop what tasks of another name kept in this worker. (A function of the module: what tasks carry are copies.)"""
+    if _kept and name not in _kept:
+        _kept.clear()
+        release_memory()
+
+
+def mapped(
+    docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keeps: str | None = None
+) -> DataFrame:
     """``docs.mapInArrow(run, schema)`` for whole texts: in small batches, and a task's memory goes back when it ends.
 
     Python workers outlive their tasks, and Spark's own limit of a batch is 64 MB, so that
-    executors would hold several times that for every core, stage after stage.
+    executors would hold several times that for every core, stage after stage. ``keeps`` names
+    what the tasks keep (see :func:`kept`); what tasks of another name kept goes first.
     """
     conf = docs.sparkSession.conf
     if BATCH_SETTING not in conf.getAll:
         conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
     def released(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(keeps)
         try:
             yield from run(rows)
         finally:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, mapped
+from .common import batches, kept, mapped
 
 WINDOW, END = 2048, 1
 POOL_TOKENS = 1 << 21  # that wait in a task before windows are filled; half of them stay for choice
@@ -239,17 +239,6 @@ class Pool:
             yield out
 
 
-_ready: list[tuple[int, Tokens]] = []
-
-
-def _tokens(stored: str) -> Tokens:
-    """One tokenizer with its memo per Python worker."""
-    key = hash(stored)
-    if not _ready or _ready[0][0] != key:
-        _ready[:] = [(key, Tokens(stored))]
-    return _ready[0][1]
-
-
 def packed_pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, pool: int = POOL_TOKENS) -> DataFrame:
     """The pieces of all documents of (doc_id, text, ...) in sequences of at most ``window`` tokens.
 
@@ -265,13 +254,15 @@ def packed_pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = E
     of their own; other columns are ignored; an empty table gives an empty one.
     """
     with open(path, encoding="utf-8") as file:
-        shared = docs.sparkSession.sparkContext.broadcast(file.read())
+        stored = file.read()
+    shared = docs.sparkSession.sparkContext.broadcast(stored)
+    name = f"units-{hash(stored)}"
     if window < 1:
         raise ValueError("a window holds one token at least")
     last = np.array([end], "<u4").tobytes()
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, waiting, out, size = _tokens(shared.value), Pool(window, pool), [], 0
+        tokens, waiting, out, size = kept(name, lambda: Tokens(shared.value)), Pool(window, pool), [], 0
         number = TaskContext.get().partitionId() << 33
 
         def sequences() -> Iterator[list]:
@@ -294,7 +285,7 @@ def packed_pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = E
         if out:
             yield _batch(out)
 
-    return mapped(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, SCHEMA)
+    return mapped(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, SCHEMA, keeps=name)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -86,3 +86,28 @@ def test_documents(odd, documents, library):
         got = [tuple(r) for r in encode_documents(docs, FILE).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
     assert encode_documents(odd.limit(0), FILE).collect() == []
+
+
+def test_workers_keep_one_operators_tables(spark, documents):
+    """What a worker keeps for encoding stays between tasks and goes when tasks of another operator begin."""
+    import pyarrow as pa
+
+    from gatherline.llm import common
+
+    def held(rows):
+        for _ in rows:
+            yield pa.RecordBatch.from_pydict({"n": [len(common._kept)]})
+
+    one = documents.select("doc_id", "text").limit(50).coalesce(1)
+    look = lambda: max(r.n for r in one.mapInArrow(held, "n bigint").collect())
+    encode_documents(one, path("byte_bpe_50k.json")).count()
+    encode_documents(one, path("byte_bpe_50k.json")).collect()
+    assert look() <= 1
+    for _ in range(8):  # tasks go to any idle worker
+        common.mapped(one, lambda rows: rows, one.schema).collect()
+    common.kept("a", lambda: 1)
+    assert common.kept("a", lambda: 2) == 1 and common.kept("b", lambda: 3) == 3 and list(common._kept) == ["b"]
+    common.keep_only("b")
+    assert common._kept
+    common.keep_only(None)
+    assert not common._kept
