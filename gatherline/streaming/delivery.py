@@ -83,7 +83,7 @@ class Ledger:
                 "last_offset",
                 "taken",
                 (F.col("last_offset") + 1 - expected - F.col("taken")).alias("missing"),
-            ).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/deliveries/batch={n}")
+            ).repartition(1).write.mode("overwrite").parquet(f"{self.path}/deliveries/batch={n}")
             self.taken.write(both.select("partition", F.coalesce(F.col("last_offset") + 1, "next_offset").alias("next_offset")), n)
         finally:
             both.unpersist()
