@@ -59,6 +59,19 @@ def failed_rules(rules: list[tuple[str, Column]]) -> Column:
     )
 
 
+def _computed_once(rows: DataFrame, name: str, column: Column) -> DataFrame:
+    """Add ``column``, computed once per row. Filters on the result, and each use in a later column, would else
+    compute it again: the optimizer writes a column's expression wherever its name stands, but not below an explode."""
+    return rows.select("*", F.explode(F.array(column)).alias(name))
+
+
+def _parsed_once(messages: DataFrame, kept: list[str], schema: T.StructType) -> DataFrame:
+    """``kept``, value and the fields of the message; both the text and its fields are made once per row."""
+    rows = _computed_once(messages.select(*kept, F.col("value").alias("_text")), "value", F.col("_text")).drop("_text")
+    parsed = F.from_json("value", schema, {"columnNameOfCorruptRecord": _CORRUPT})
+    return _computed_once(rows, "m", parsed).select(*kept, "value", "m.*")
+
+
 def parse(messages: DataFrame, topic: str) -> DataFrame:
     """Readings with a ``reasons`` column; an empty list marks a valid reading.
 
@@ -67,12 +80,8 @@ def parse(messages: DataFrame, topic: str) -> DataFrame:
     schema, defaults, rules = _rules(topic)
     corrupt_aware = T.StructType(schema.fields + [T.StructField(_CORRUPT, T.StringType())])
     kept = [c for c in _KEPT if c in messages.columns]
-    rows = messages.select(
-        *kept,
-        "value",
-        F.from_json("value", corrupt_aware, {"columnNameOfCorruptRecord": _CORRUPT}).alias("m"),
-    ).select(*kept, "value", "m.*")
-    rows = rows.withColumn("time", parse_time(F.col("timestamp")))
+    rows = _parsed_once(messages, kept, corrupt_aware)
+    rows = _computed_once(rows, "time", parse_time(F.col("timestamp")))
     for name, default in defaults.items():
         rows = rows.withColumn(name, F.coalesce(name, F.lit(default)))
     unreadable = F.col(_CORRUPT).isNotNull()
@@ -116,9 +125,8 @@ def parse_orders(messages: DataFrame) -> DataFrame:
     """
     schema = T.StructType([T.StructField("timestamp", T.StringType()), *ORDER_REQUEST.fields])
     corrupt_aware = T.StructType(schema.fields + [T.StructField(_CORRUPT, T.StringType())])
-    rows = messages.select(
-        "tie", "value", F.from_json("value", corrupt_aware, {"columnNameOfCorruptRecord": _CORRUPT}).alias("m")
-    ).select("tie", "value", "m.*", parse_time(F.col("m.timestamp")).alias("placed_at"))
+    rows = _parsed_once(messages, ["tie"], corrupt_aware)
+    rows = _computed_once(rows, "placed_at", parse_time(F.col("timestamp")))
     rules = _required(schema, ("special_instructions", "items"))
     rules += [("bad timestamp", F.col("timestamp").isNotNull() & F.col("placed_at").isNull())]
     unreadable = F.col(_CORRUPT).isNotNull()
