@@ -2,9 +2,11 @@
 
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.sql import Row
 
 from gatherline.sources import messages, venue
 from gatherline.sources.tables import Snapshots
+from gatherline.streaming import keyed
 
 
 def test_snapshots_are_computed_in_the_plans_own_tasks(spark, folder):
@@ -28,3 +30,54 @@ def test_messages_are_parsed_once(spark):
     sent = spark.createDataFrame([(1, '{"beacon_id": "B1"}')], "tie long, value string")
     rows = messages.accepted(messages.parse(sent, venue.BLE_TOPIC))
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
+class Calls:
+    """A state-store list, a timer handle and the times of a batch, with a count of the calls."""
+
+    def __init__(self):
+        self.rows, self.calls, self.timers = [], 0, []
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return iter(list(self.rows))
+
+    def appendValue(self, row):
+        self.appendList([row])
+
+    def appendList(self, rows):
+        self.rows += rows
+        self.calls += 1
+
+    def put(self, rows):
+        self.rows = list(rows)
+        self.calls += 1
+
+    def clear(self):
+        self.rows = []
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_a_tick_keeps_its_last_reading_in_one_call():
+    state = keyed.TickState(1000)
+    state.handle = state.readings = calls = Calls()
+    rows = [Row(at=at * 1000, tie=tie, payload="p") for tie, at in enumerate([1500, 200, 900, 900, 1400, 3100])]
+    assert list(state.handleInputRows(("queue", "Q1"), iter(rows), calls)) == []
+    assert sorted(r[:2] for r in calls.rows) == [(900_000, 3), (1_500_000, 0), (3_100_000, 5)]
+    assert calls.calls == 1 and calls.timers == [1000]
+
+
+def test_events_and_states_are_stored_many_at_a_time():
+    state = keyed.LastBefore()
+    state.events, state.states, state.handle = Calls(), Calls(), Calls()
+    rows = [Row(side=n % 2, at=n * 1000, tie=n, due=10_000 - n, payload=str(n)) for n in range(200)]
+    assert list(state.handleInputRows(("C4",), iter(rows), state.handle)) == []
+    assert len(state.events.rows) == len(state.states.rows) == 100
+    assert state.events.calls == 1 and state.states.calls == 1 and state.handle.timers == [9802]
