@@ -18,6 +18,9 @@ from .smoothing import ALPHA, BLOCK, smooth
 RUN_EVERY = 5
 KEPT = 50
 
+#: Blocks of runs in a task, where there are enough of them to keep all tasks busy.
+BLOCKS_PER_TASK = 64
+
 
 def run_members(
     readings: DataFrame,
@@ -43,7 +46,7 @@ def run_members(
         readings.withColumns({"_first": first, "_last": last})
         .where("_first <= _last")
         .withColumn("_block", F.explode(F.sequence(F.floor(F.col("_first") / block), F.floor(F.col("_last") / block))))
-        .repartition(min(3 * spread, blocks), "_block")
+        .repartition(min(max(3 * spread, blocks // BLOCKS_PER_TASK), blocks), "_block")
     )
     low = F.greatest(F.col("_first"), F.col("_block") * block)
     high = F.least(F.col("_last"), F.col("_block") * block + (block - 1))

@@ -4,6 +4,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Row
 
+from gatherline.operators import flow
 from gatherline.sources import messages, venue
 from gatherline.sources.tables import Snapshots
 from gatherline.streaming import keyed
@@ -81,3 +82,13 @@ def test_events_and_states_are_stored_many_at_a_time():
     assert list(state.handleInputRows(("C4",), iter(rows), state.handle)) == []
     assert len(state.events.rows) == len(state.states.rows) == 100
     assert state.events.calls == 1 and state.states.calls == 1 and state.handle.timers == [9802]
+
+
+def test_tasks_of_runs_grow_with_the_number_of_runs(spark):
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.createDataFrame([(1, "Gate-East", 0.5)], "index long, zone string, density double")
+    per_task = flow.RUN_EVERY * 256 * flow.BLOCKS_PER_TASK
+    tasks = lambda last: flow.run_members(rows, last).rdd.getNumPartitions()
+    assert tasks(5) == 1
+    assert tasks(per_task) == 3 * spread
+    assert tasks(per_task * 12 * spread) == 12 * spread
