@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.crowd import congestion_band, should_avoid
-from ..functions.numbers import exact_sum, mean_of, round_half_up
+from ..functions.numbers import exact_sum, mean_of, round_half_up, small_exact_sum
 from ..functions.text import path_text
 from ..sources.venue import MAIN_SEATING
 from .ordering import numbered
@@ -59,7 +59,7 @@ def run_zone_means(members: DataFrame) -> DataFrame:
     return (
         members.groupBy("_block", "run", "zone")
         .agg(
-            exact_sum(F.col("density")).alias("total"),
+            small_exact_sum(F.col("density")).alias("total"),
             F.count("*").alias("n"),
             F.min("index").alias("appeared"),
             F.max_by("time", "index").alias("_seen"),
@@ -124,9 +124,9 @@ def describe_runs(
             ),
         }
     )
-    # One search per run serves all its zones.
+    # One search per run serves all its zones, and only runs go through Python.
     aimed = search_towards(listed, target, graph)
-    each = aimed.select(*keys, "time", "densities", "_crowded", "_next", "_tied", F.inline("zones"))
+    each = aimed.select(*keys, "time", "_crowded", "_ways", F.inline("zones"))
     return paths_towards(each, "zone", target, graph).select(
         *keys,
         "time",

@@ -117,6 +117,45 @@ class Edges:
         tied[:, target] = False
         return after, tied
 
+    def ways_towards(self, factors: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(positions on the ways from all zones to ``target``, one after another; their lengths, 0 without a way; ties
+        as of :meth:`towards`). A way with a tie is searched from its zone."""
+        after, tied = self.towards(factors, target)
+        rows = np.repeat(np.arange(len(factors)), self.zones)
+        here = np.tile(np.arange(self.zones), len(factors))
+        ways, unsure = np.full((len(rows), self.zones), -1), tied.ravel().copy()
+        ways[:, 0] = here
+        for step in range(1, self.zones):
+            # No zone comes after the target, and none after a zone without a way.
+            here = np.where(here >= 0, after[rows, here], -1)
+            if (here < 0).all():
+                break
+            ways[:, step] = here
+            unsure |= (here >= 0) & tied[rows, here]
+        lengths = (ways >= 0).sum(axis=1)
+        lengths[ways[np.arange(len(ways)), lengths - 1] != target] = 0
+        asked = np.flatnonzero(unsure)
+        size = max(1, CELLS // len(self.inside))
+        for part in (asked[i : i + size] for i in range(0, len(asked), size)):
+            ways[part], lengths[part] = self.walked_back(factors[rows[part]], ways[part, 0], target)
+        return ways[np.arange(self.zones) < lengths[:, None]], lengths.reshape(len(factors), self.zones), tied
+
+    def walked_back(self, factors: np.ndarray, source: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray]:
+        """The cheapest way from each row's ``source`` to ``target``, and its length; 0 where unreachable."""
+        cost, before = self.from_source(factors, source)
+        rows, here = np.arange(len(source)), np.full(len(source), target)
+        back = np.full((len(source), self.zones), -1)
+        back[:, 0] = here
+        for step in range(1, self.zones):
+            here = np.where(here >= 0, before[rows, here], -1)
+            if (here < 0).all():
+                break
+            back[:, step] = here
+        lengths = (back >= 0).sum(axis=1)
+        places = lengths[:, None] - 1 - np.arange(self.zones)
+        ways = np.where(places >= 0, np.take_along_axis(back, np.maximum(places, 0), axis=1), -1)
+        return ways, np.where(np.isfinite(cost[:, target]), lengths, 0)
+
 
 VENUE = Graph()
 
@@ -219,54 +258,43 @@ def search(df: DataFrame, source: str = "from_zone", graph: Graph = VENUE, only:
 def search_towards(df: DataFrame, target: str, graph: Graph = VENUE) -> DataFrame:
     """One search for the ways from all zones to ``target``.
 
-    Needs a ``densities`` map column. Adds ``_next``, the position of the zone after
-    each zone, and ``_tied``: whether another next zone is as cheap, but for
+    Needs a ``densities`` map column. Adds ``_ways``, the positions on the way from each zone
+    (empty if there is none), and ``_tied``: whether another zone after it is as near, but for
     rounding. Which of equally cheap paths counts is defined from the source (see
-    :func:`search`), so tied ways have to be searched from there.
+    :func:`search`), so tied ways are searched from there, in the same batch.
     """
     edges, goal = graph.edges, graph.zones.index(target)
 
-    @F.arrow_udf("struct<next:array<int>,tied:array<boolean>>")
+    @F.arrow_udf("struct<ways:array<array<int>>,tied:array<boolean>>")
     def aimed(factors: pa.Array) -> pa.Array:
-        every = np.ones(len(factors), bool)
-        after, tied = np.zeros((len(factors), edges.zones), int), np.zeros((len(factors), edges.zones), bool)
+        steps, ways = [np.empty(0, np.int32)], np.zeros((len(factors), edges.zones), int)
+        tied = np.zeros((len(factors), edges.zones), bool)
         for part, given in _chunks(factors, edges):
-            after[part], tied[part] = edges.towards(given, goal)
-        lists = [_lists(after, after >= 0, every, pa.int32()), _lists(tied, np.ones(tied.shape, bool), every, pa.bool_())]
-        return pa.StructArray.from_arrays(lists, ["next", "tied"])
+            places, lengths, tied[part] = edges.ways_towards(given, goal)
+            steps.append(places)
+            ways[part] = lengths
+        every = np.ones(len(factors), bool)
+        ends = pa.array(np.r_[0, ways.ravel().cumsum()], pa.int32())
+        each = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(steps), pa.int32()))
+        rows = pa.array(np.arange(0, tied.size + 1, edges.zones), pa.int32())
+        lists = [pa.ListArray.from_arrays(rows, each), _lists(tied, np.ones(tied.shape, bool), every, pa.bool_())]
+        return pa.StructArray.from_arrays(lists, ["ways", "tied"])
 
     found = df.withColumn("_found", aimed(_factors(graph)))
-    return found.select(*df.columns, F.col("_found.next").alias("_next"), F.col("_found.tied").alias("_tied"))
+    return found.select(*df.columns, F.col("_found.ways").alias("_ways"), F.col("_found.tied").alias("_tied"))
 
 
 def paths_towards(df: DataFrame, source: str, target: str, graph: Graph = VENUE) -> DataFrame:
     """Add ``path`` from the zone in ``source`` to ``target``; empty if unreachable.
 
-    Needs the columns of :func:`search_towards`. Follows them where the cheapest
-    path is unique, and searches from the source where it is not.
+    Needs the column ``_ways`` of :func:`search_towards`; a row only names its own way.
     """
     zones = F.array(*[F.lit(z) for z in graph.zones])
-    goal = graph.zones.index(target)
-    walked = F.aggregate(
-        F.sequence(F.lit(1), F.lit(len(graph.zones) - 1)),
-        F.array((F.array_position(zones, F.col(source)) - 1).cast("int")),
-        lambda path, _: F.when(F.element_at(path, -1) == goal, path).otherwise(
-            F.concat(path, F.array_compact(F.array(F.get(F.col("_next"), F.element_at(path, -1)))))
-        ),
-    )
-    rows = df.withColumn("_walked", walked)
-    rows = rows.withColumn("_unsure", F.exists("_walked", lambda i: F.get(F.col("_tied"), i)))
-    found = search(rows, source, graph, only="_unsure")
-    _, searched = route_columns(F.col(source), F.lit(target), graph)
-    followed = F.when(
-        F.element_at("_walked", -1) == goal, F.transform("_walked", lambda i: F.element_at(zones, i + 1))
-    ).otherwise(F.array().cast("array<string>"))
-    path = (
-        F.when(F.col(source) == target, F.array(F.lit(target)))
-        .when(F.col("_unsure"), searched)
-        .otherwise(followed)
-    )
-    return found.withColumn("path", path).drop("_walked", "_unsure", "_next", "_tied", "_cost", "_pred")
+    way = F.get(F.col("_ways"), (F.array_position(zones, F.col(source)) - 1).cast("int"))
+    none = F.array().cast("array<string>")
+    named = F.coalesce(F.transform(way, lambda i: F.element_at(zones, i + 1)), none)
+    path = F.when(F.col(source) == target, F.array(F.lit(target))).otherwise(named)
+    return df.withColumn("path", path).drop("_ways", "_tied")
 
 
 def route_columns(source: Column, target: Column, graph: Graph = VENUE) -> tuple[Column, Column]:

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 # Fixed value.
 ALPHA = 0.3
 
@@ -93,7 +95,7 @@ def smooth(
     """Add ``smoothed``: s = alpha x + (1 - alpha) s of the position before.
 
     ``position`` counts within the whole series, at most once per key, up to
-    ``last``. A series starts with its own first value, or, where ``start`` has a
+    ``last``; a block has few keys. A series starts with its own first value, or, where ``start`` has a
     row for its key, with that ``smoothed`` value. The result also has ``_block``,
     by which it is partitioned together with the key.
     """
@@ -110,7 +112,8 @@ def smooth(
     # Blocks may be given by the caller, to line up with how the rows are partitioned.
     rows = df if "_block" in df.columns else df.withColumn("_block", F.floor(F.col(position) / block))
     grouped = rows.groupBy("_block", key).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    maps = _composed(grouped, key).withColumnRenamed("_block", "position")
+    # A row per block and key, which every level of the scan reads: without the checkpoint each made all blocks anew.
+    maps = checkpointed(_composed(grouped, key).withColumnRenamed("_block", "position"))
     if start is None:
         starts = _start_values(maps, key, last // block, block)
     else:
@@ -130,8 +133,13 @@ def smooth(
             _step(z["before"], z["items"]).alias("smoothed"),
         ),
     )
+    # By block alone, as the rows may be partitioned already: the few starts move, not the rows. A NULL key has none.
+    known = starts.where(F.col(key).isNotNull()).groupBy(F.col("position").alias("_block")).agg(
+        F.map_from_entries(F.collect_list(F.struct(key, "start"))).alias("_starts")
+    )
     return (
-        grouped.join(starts.withColumnRenamed("position", "_block"), ["_block", key])
-        .withColumn("before", _running(F.col("items"), F.col("start")))
+        grouped.where(F.col(key).isNotNull())
+        .join(known, "_block")
+        .withColumn("before", _running(F.col("items"), F.col("_starts")[F.col(key)]))
         .select("_block", key, F.inline(out))
     )

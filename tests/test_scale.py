@@ -3,7 +3,9 @@
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
+from gatherline.functions.numbers import exact_sum, small_exact_sum
 from gatherline.operators import flow
 from gatherline.sources import messages, venue
 from gatherline.sources.tables import Snapshots
@@ -92,3 +94,31 @@ def test_tasks_of_runs_grow_with_the_number_of_runs(spark):
     assert tasks(5) == 1
     assert tasks(per_task) == 3 * spread
     assert tasks(per_task * 12 * spread) == 12 * spread
+
+
+def test_forecasts_move_readings_once_and_only_runs_through_python(spark):
+    rows = [(i, i % 7, ["Gate-East", "Concourse-A", "VIP-Lounge"][i % 3], (i * 37 % 100) / 100) for i in range(1, 2001)]
+    readings = spark.createDataFrame(rows, "index long, t int, zone string, density double").withColumn("time", F.timestamp_seconds("index"))
+    plan = flow.flow_forecasts(readings, 2000)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("ArrowEvalPython") == 1
+    # No shuffle by run, nor one of readings by block and zone: theirs by block serves all.
+    exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning(" in line]
+    assert not [e for e in exchanges if "(_block" in e and ("run" in e or "zone" in e)]
+    assert sum("REPARTITION_BY_NUM" in e for e in exchanges) == 1
+
+
+def test_small_sums_are_exact_for_any_size(spark):
+    values = [0.5, -0.25, 1e-9, None, 9e9, -9e9, 9.2e9, 9.2e9, -3.3, 123456789.987654321]
+    groups = [values[i:j] for i in range(len(values)) for j in range(i + 1, len(values) + 1)]
+    rows = [(g, v) for g, group in enumerate(groups) for v in group]
+    sums = spark.createDataFrame(rows, "g int, x double").groupBy("g").agg(
+        exact_sum(F.col("x")).cast("double").alias("want"), small_exact_sum(F.col("x")).alias("got")
+    )
+    assert sums.where(~F.col("want").eqNullSafe(F.col("got"))).count() == 0 and sums.count() == len(groups)
+
+
+def test_a_zone_without_a_name_has_no_forecast(spark):
+    rows = [(i, None if i % 4 == 0 else "Gate-East", 0.5) for i in range(1, 1501)]
+    readings = spark.createDataFrame(rows, "index long, zone string, density double").withColumn("time", F.timestamp_seconds("index"))
+    told = flow.flow_forecasts(readings, 1500)
+    assert told.count() == 300 and told.where("zone IS NULL").count() == 0
