@@ -1,5 +1,7 @@
 """Work that has to stay spread over tasks and small in each."""
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Row
@@ -122,3 +124,43 @@ def test_a_zone_without_a_name_has_no_forecast(spark):
     readings = spark.createDataFrame(rows, "index long, zone string, density double").withColumn("time", F.timestamp_seconds("index"))
     told = flow.flow_forecasts(readings, 1500)
     assert told.count() == 300 and told.where("zone IS NULL").count() == 0
+
+
+class Kept:
+    """A value state of no store."""
+
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_readings_of_a_stand_pass_in_frames():
+    state = keyed.LastLengths({"place0": "int8", "place1": "int64"})
+    state.lengths = Kept()
+    rng = np.random.default_rng(3)
+
+    def batch(first, n):
+        at = np.arange(first, first + n)
+        known = np.where(at % 11 == 0, 11, 15)  # without a length
+        frame = pd.DataFrame({"stand_name": "Bar", "at": at, "tie": at, "queue_length": at % 97 * (known == 15), "is_open": True, "known": known})
+        frame = frame.assign(place0=1, place1=at).iloc[rng.permutation(n)]
+        return (frame.iloc[i : i + 1000] for i in range(0, n, 1000))
+
+    length = lambda i: None if i < 1 or i % 11 == 0 else i % 97
+    for first, n in ((1, 1), (2, 25_000), (25_002, 7)):
+        frames = list(state.handleInputRows(("C4",), batch(first, n), None))
+        assert max(map(len, frames)) <= keyed.ROWS_PER_CALL
+        told = pd.concat(frames)
+        assert told["at"].tolist() == list(range(first, first + n))
+        shown = lambda v, there: [int(x) if t else None for x, t in zip(v, there)]
+        assert shown(told["last"], told["has_last"]) == [length(i - 1) for i in range(first, first + n)]
+        assert shown(told["before"], told["has_before"]) == [length(i - 2) for i in range(first, first + n)]
+        assert set(told["stand_name"]) == {"Bar"} and set(told["stand_id"]) == {"C4"}
+    assert state.lengths.value == (2, length(25_007), length(25_008))
