@@ -111,12 +111,14 @@ class CrowdStream:
         sent = runs.withColumn("generated_at", iso_time(F.col("time"))).drop("time", "smoothed", "run")
         messages.predictions_as_messages(sent, None).write.mode("overwrite").json(f"{self.root}/messages/kind=flow/batch={n}")
 
-        newest = flow.latest_run_per_zone(runs)
+        # A row per zone, made once of all runs.
+        newest = flow.latest_run_per_zone(runs).persist()
         self.smoothed.write(latest.merge_state(self.smoothed.read(n - 1), newest.select("zone", "smoothed"), "zone"), n)
         # After a run the last KEPT readings stay buffered, plus those since.
         first_kept = last // flow.RUN_EVERY * flow.RUN_EVERY - flow.KEPT
         self.recent.write(covered.where(F.col("index") > first_kept), n)
         self.zones.write(self._state(rows, fields, newest, n), n)
+        newest.unpersist()
         runs.unpersist()
 
     def _state(self, rows: DataFrame, fields: list[str], newest: DataFrame, n: int) -> DataFrame:
