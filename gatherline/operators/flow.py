@@ -173,10 +173,10 @@ def snapshot_forecasts(crowd: DataFrame, tick: str, alpha: float = ALPHA, graph:
 
 def latest_run_per_zone(forecasts: DataFrame, every: int = RUN_EVERY) -> DataFrame:
     """The last forecast of every zone and the index of the reading that fired it."""
-    last = forecasts.groupBy("zone").agg(
-        F.max_by(F.struct("congestion_risk", "predicted_density", "smoothed"), "run").alias("p"),
-        F.max("run").alias("run"),
-    )
+    # The last run by a hash aggregate, then its rows by a join with a row per zone: a struct's max_by sorts all rows.
+    ends = forecasts.groupBy("zone").agg(F.max("run").alias("run"))
+    p = F.struct("congestion_risk", "predicted_density", "smoothed").alias("p")
+    last = forecasts.join(F.broadcast(ends), ["zone", "run"]).select("zone", "run", p)
     return last.select("zone", "run", (F.col("run") * every).alias("fired_at"), "p.*")
 
 

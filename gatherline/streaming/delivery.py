@@ -24,8 +24,9 @@ RECEIVED = "received"
 
 def once(messages: DataFrame, key: str = "tie") -> DataFrame:
     """One of the copies of every message of a batch; messages without a key all stay."""
-    known = messages.where(F.col(key).isNotNull()).dropDuplicates([key])
-    return known.unionByName(messages.where(F.col(key).isNull()))
+    # One pass: a message without a key gets one. Shuffled before copies are looked for, so that rows are sorted once.
+    alone = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    return messages.withColumn("_alone", alone).repartition(key, "_alone").dropDuplicates([key, "_alone"]).drop("_alone")
 
 
 def once_within(stream: DataFrame, within: str, keys: tuple[str, ...] = ("tie",), received: str = RECEIVED) -> DataFrame:

@@ -12,6 +12,7 @@ from gatherline.operators import flow
 from gatherline.sources import messages, venue
 from gatherline.sources.tables import Snapshots
 from gatherline.streaming import keyed
+from gatherline.streaming.delivery import once
 
 
 def test_snapshots_are_computed_in_the_plans_own_tasks(spark, folder):
@@ -164,3 +165,20 @@ def test_readings_of_a_stand_pass_in_frames():
         assert shown(told["before"], told["has_before"]) == [length(i - 2) for i in range(first, first + n)]
         assert set(told["stand_name"]) == {"Bar"} and set(told["stand_id"]) == {"C4"}
     assert state.lengths.value == (2, length(25_007), length(25_008))
+
+
+def test_copies_are_dropped_in_one_pass_without_a_sort_before_the_shuffle(spark):
+    rows = [(i % 50 if i % 5 else None, f"m{i % 50 if i % 5 else i}") for i in range(200)]
+    found = once(spark.createDataFrame(rows, "tie long, value string"))
+    lines = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted({(t, v) for t, v in rows}, key=repr)
+    shuffles = [i for i, line in enumerate(lines) if "Exchange " in line]
+    assert len(shuffles) == 1 and not any("Sort" in line for line in lines[shuffles[0] :])
+
+
+def test_last_run_of_a_zone_without_sorting_all(spark):
+    rows = [(z, r, f"{z}{r}", r / 10) for z in ("A", "B") for r in range(1, 40 if z == "A" else 20)]
+    told = spark.createDataFrame(rows, "zone string, run long, congestion_risk string, predicted_density double").withColumn("smoothed", F.lit(0.5))
+    found = flow.latest_run_per_zone(told)
+    assert "Sort" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [("A", 39, 195, "A39", 3.9, 0.5), ("B", 19, 95, "B19", 1.9, 0.5)]
