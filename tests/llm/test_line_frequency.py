@@ -70,3 +70,18 @@ def test_repeated_words_of_a_long_text(spark):
 def test_no_python_on_the_main_path(documents):
     plan = L.line_rules(documents)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_white_space_and_case(spark):
+    gaps, said = [" ", "  ", "\t", "\x0b", " \t", "\t ", "\r", "\x0c\x0c", " \n ", "\n", "\n\n", "\x1c", " "], ["A1", "ΑΣ", "İ", "#$", "😀", "29"]
+    rows = [(i, "".join(gaps[(i * j + j) % 13] + said[(i + j * j) % 6] for j in range(i)) + gaps[i % 13], "a") for i in range(60)]
+    check(spark.createDataFrame([*rows, (61, None, "a")], "doc_id bigint, text string, source string"), 2, least=3)
+
+
+def test_costly_expressions(spark):
+    docs = spark.createDataFrame([(1, "a b c a b c", "a")], "doc_id bigint, text string, source string")
+    plan = L.line_rules(docs)._jdf.queryExecution().optimizedPlan().toString()
+    windows = re.findall(r"xxhash64\(lambda", plan)
+    assert len(windows) == 1, "the windows of a text are hashed once"
+    assert "translate(" not in plan, "it makes a string of every character"
+    assert "array_sort(" not in plan, "its comparisons are not compiled"
