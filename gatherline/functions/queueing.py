@@ -25,20 +25,27 @@ def erlang_c(arrival: Column, service: Column, servers: Column) -> Column:
     """Probability that an arriving customer has to wait."""
     offered = arrival / _nonzero(service)
     load = offered / _nonzero(servers)
-    # term_k = offered^k / k!, summed over k < servers; servers are few.
-    state = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(servers, F.lit(1))),
-        F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("below")),
-        lambda acc, k: F.struct(
-            (acc["term"] * offered / k).alias("term"),
-            (acc["below"] + acc["term"]).alias("below"),
-        ),
-    )
-    waiting = state["term"] / _nonzero(1 - load)
+
+    def probability(state: Column) -> Column:
+        waiting = state["term"] / _nonzero(1 - load)
+        return waiting / (state["below"] + waiting)
+
+    # term_k = offered^k / k!, summed over k < servers; servers are few. The result is made of the sums inside
+    # the aggregate: outside, every use of one would compute them again.
     return (
         F.when((arrival <= 0) | (service <= 0) | (servers <= 0), F.lit(0.0))
         .when(load >= 1.0, F.lit(1.0))
-        .otherwise(waiting / (state["below"] + waiting))
+        .otherwise(
+            F.aggregate(
+                F.sequence(F.lit(1), F.greatest(servers, F.lit(1))),
+                F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("below")),
+                lambda acc, k: F.struct(
+                    (acc["term"] * offered / k).alias("term"),
+                    (acc["below"] + acc["term"]).alias("below"),
+                ),
+                probability,
+            )
+        )
     )
 
 

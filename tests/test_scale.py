@@ -8,6 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from gatherline.functions.numbers import exact_sum, small_exact_sum
+from gatherline.functions.queueing import mean_wait
 from gatherline.operators import flow
 from gatherline.sources import messages, venue
 from gatherline.sources.tables import Snapshots
@@ -182,3 +183,10 @@ def test_last_run_of_a_zone_without_sorting_all(spark):
     found = flow.latest_run_per_zone(told)
     assert "Sort" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == [("A", 39, 195, "A39", 3.9, 0.5), ("B", 19, 95, "B19", 1.9, 0.5)]
+
+
+def test_a_wait_takes_one_pass_over_the_tills(spark):
+    rows = spark.createDataFrame([(2.0, 1.5, 2), (9.0, 1.5, 4), (0.0, 1.5, 2), (1.0, 0.0, 2), (1.0, 1.5, None)], "arrival double, service double, servers int")
+    found = rows.select(mean_wait(F.col("arrival"), F.col("service"), F.col("servers")).alias("w"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    assert [r.w for r in found.collect()] == [0.53, 1.5, 0.0, 60.0, 60.0]
